@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmata.llm import capping, mixing, packing, ranking
+from lemmata.llm import capping, glyphs, markup, mixing, packing, ranking
 from lemmata.plans.runtime import table
 
 SHARE_CAP = 0.02
 TOP = 3
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    out = markup.clean_markup(table(spark, d, "corpus"))
+    return out.select("doc_id", F.explode("kinds").alias("kind"))
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every statement as clean text, and the kinds of markup it held."""
+    return markup.clean_markup(table(spark, d, "corpus"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     w = ranking.wide(table(spark, d, "candidates"), table(spark, d, "corpus"))
     return ranking.top(ranking.stationary(w), TOP).select("query_id", "doc_id")
@@ -25,6 +35,15 @@ def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.stationary(w).select("query_id", "doc_id", F.round("mass", 9).alias("mass"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return glyphs.affected(table(spark, d, "corpus"))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Both fields of every record in their one form, and which were affected."""
+    return glyphs.repaired(table(spark, d, "corpus"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return capping.cap_contributors(table(spark, d, "corpus"), share=SHARE_CAP).filter("NOT kept").select("doc_id")
 
@@ -92,7 +111,7 @@ WITH s AS (
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_ranking, p5_found, p5_kept, p6_found, p6_assignment, p6_fill, p7_found, p7_mix, p7_report)
+    f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_ranking, p4_found, p4_repaired, p5_found, p5_kept, p6_found, p6_assignment, p6_fill, p7_found, p7_mix, p7_report)
 }
 
 ORACLE_SQL: dict[str, str] = {
