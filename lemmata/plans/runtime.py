@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +31,26 @@ def session(app: str = "lemmata", cpus: int | str = "*", partitions: int = 8) ->
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each Spark context.
+
+    Spark's file server hands it out, so the workers need neither the repository nor a path to it.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_lemmata_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="lemmata-ship-")) / "lemmata_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(target))
+    sc._lemmata_shipped = True
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One table of a directory of Parquet tables."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
