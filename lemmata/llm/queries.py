@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmata.llm import capping, glyphs, markup, mixing, packing, ranking
+from lemmata.llm import capping, glyphs, markup, mixing, neardup, packing, ranking
 from lemmata.plans.runtime import table
 
 SHARE_CAP = 0.02
@@ -35,6 +35,15 @@ def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.stationary(w).select("query_id", "doc_id", F.round("mass", 9).alias("mass"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.Versions(table(spark, d, "corpus")).pairs()
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of every record, its copies and its links."""
+    return neardup.Versions(table(spark, d, "corpus")).classes()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.affected(table(spark, d, "corpus"))
 
@@ -111,7 +120,7 @@ WITH s AS (
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_ranking, p4_found, p4_repaired, p5_found, p5_kept, p6_found, p6_assignment, p6_fill, p7_found, p7_mix, p7_report)
+    f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_ranking, p3_found, p3_classes, p4_found, p4_repaired, p5_found, p5_kept, p6_found, p6_assignment, p6_fill, p7_found, p7_mix, p7_report)
 }
 
 ORACLE_SQL: dict[str, str] = {
