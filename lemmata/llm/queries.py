@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmata.llm import capping, glyphs, markup, mixing, neardup, packing, ranking
+from lemmata.llm import abuse, capping, glyphs, markup, mixing, neardup, packing, ranking
 from lemmata.plans.runtime import table
 
 SHARE_CAP = 0.02
@@ -98,6 +98,25 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(base, table(spark, d, "mix_targets")).withColumn("reached_share", F.round("reached_share", 6))
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse.score_documents(docs, abuse.train(abuse.reviewed(docs, table(spark, d, "reviews"))))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).filter(F.col("score") >= abuse.FLAGGED).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score and offending spans of every document."""
+    return _scored(spark, d)
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, flagged documents and rate, by source."""
+    return abuse.rates(_scored(spark, d))
+
+
 _CAPPED = """
 WITH a AS (
   SELECT doc_id, regexp_replace(trim(lower(source)), '^https?://', '') AS s, trim(citations) AS t FROM corpus
@@ -120,7 +139,7 @@ WITH s AS (
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_ranking, p3_found, p3_classes, p4_found, p4_repaired, p5_found, p5_kept, p6_found, p6_assignment, p6_fill, p7_found, p7_mix, p7_report)
+    f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_ranking, p3_found, p3_classes, p4_found, p4_repaired, p5_found, p5_kept, p6_found, p6_assignment, p6_fill, p7_found, p7_mix, p7_report, p8_found, p8_scores, p8_rates)
 }
 
 ORACLE_SQL: dict[str, str] = {
