@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ()
+from lemmata.plans import text_queries
+
+MODULES = (text_queries,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
