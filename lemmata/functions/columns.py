@@ -142,11 +142,16 @@ def split_of(doc_id: Column) -> Column:
     return F.when(h < 90, "train").when(h < 95, "val").otherwise("test")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use refers to it: lambdas are not shared otherwise."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(v: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(d, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    norm = lambda d: F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
+    scaled = lambda d: bound(norm(d), lambda n: F.transform(d, lambda x: F.when(n > 0, x / n).otherwise(x)))
+    return bound(F.transform(v, lambda x: x.cast("double")), scaled)
 
 
 def dot(a: Column, b: Column) -> Column:

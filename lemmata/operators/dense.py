@@ -7,8 +7,10 @@ pair of blocks is one matrix product, and only the best k of a block travel on.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,10 +47,11 @@ def pack(df: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
     return base.mapInArrow(run, "ids binary, m binary, d int")
 
 
-def block_search(queries: DataFrame, docs: DataFrame, k: int, metric: str = "dot") -> DataFrame:
-    """(query_id, doc_id, score) of the best k documents of every query, both sides as pack() gives them.
+def block_search(queries: DataFrame, docs: DataFrame, k: int, metric: str = "dot", digits: int = 9) -> DataFrame:
+    """(query_id, doc_id, score) of the best k documents of every query and block, both sides as pack() gives them.
 
-    metric: dot, or bits (the negative number of differing signs). Scores are computed in double.
+    metric: dot, or bits (the negative number of differing signs). Scores are computed in double and rounded to
+    digits; of equal ones those with the least ids stay, so that copies never make more than k rows.
     """
     q = queries.select(F.col("ids").alias("qi"), F.col("m").alias("qm"), F.col("d").alias("qd"))
     docs = docs.repartition(partitions_of(docs.sparkSession))
@@ -65,10 +68,14 @@ def block_search(queries: DataFrame, docs: DataFrame, k: int, metric: str = "dot
                     s = x[a : a + 512] @ y.T
                     if metric == "bits":
                         s = (s - r["d"]) / 2
-                    s = np.round(s, 9)
-                    if len(di) > k:  # all that tie with the k-th stay; the window decides by id
+                    s = np.round(s, digits)
+                    if len(di) > k:
                         floor = np.partition(s, -k, axis=1)[:, -k]
                         i, j = np.nonzero(s >= floor[:, None])
+                        order = np.lexsort((di[j], -s[i, j], i))
+                        i, j = i[order], j[order]
+                        place = np.arange(len(i)) - np.searchsorted(i, i)
+                        i, j = i[place < k], j[place < k]
                     else:
                         i, j = (z.reshape(-1) for z in np.indices(s.shape))
                     yield pa.RecordBatch.from_arrays([pa.array(qi[a + i]), pa.array(di[j]), pa.array(s[i, j])], names=["query_id", "doc_id", "score"])
@@ -111,8 +118,31 @@ def sign_words(v: Column, dims: int = 64) -> Column:
 
 
 def hash_embedding(text: Column, dims: int = 64) -> Column:
-    """A unit vector of signed token counts: a token's bucket and sign come from its MD5."""
-    t = F.transform(C.tokens(text), lambda w: F.md5(w))
-    pairs = F.transform(t, lambda h: F.struct((F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dims).cast("int").alias("b"), F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    summed = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter(pairs, lambda p: p["b"] == i), F.lit(0.0), lambda a, p: a + p["s"]))
-    return C.unit(summed)
+    """A unit vector of signed token counts: a token's bucket and sign come from its MD5.
+
+    An Arrow UDF: as nested lambdas the sums would be made anew for every dimension. A null text gives null.
+    """
+
+    @F.pandas_udf("array<double>")
+    def embed(tokens: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, float]] = {}
+
+        def place(w: str) -> tuple[int, float]:
+            h = md5(w.encode()).hexdigest()
+            known[w] = p = int(h[:8], 16) % dims, 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+            return p
+
+        out = []
+        for t in tokens:
+            if t is None:
+                out.append(None)
+                continue
+            v = np.zeros(dims)
+            for w in t:
+                b, sign = known.get(w) or place(w)
+                v[b] += sign
+            norm = np.sqrt((v * v).sum())
+            out.append(v / norm if norm > 0 else v)
+        return pd.Series(out)
+
+    return embed(C.tokens(text))
