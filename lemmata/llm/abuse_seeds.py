@@ -126,4 +126,29 @@ Un moderador ha borrado un comentario ofensivo.
 Me neither.
 Nice lemma.
 Thanks in advance!
+Then there is a unique map from the first space to the second, and its degree is 4.
+It follows that every smooth curve of this kind has a rational point.
+The bound is sharp when the field is finite.
+We thank a reader for pointing out that the module need not be flat.
+In the lecture we used this fact without proof; here it is.
+Can you say more on why the kernel is closed?
+Does anyone know a reference for this lemma?
+I do not see why the sum should converge, but the table lists the first 20 values.
+The trick is to look at the group first and only then at the ring.
+Let X be a compact space and fix a point in it with the property above.
+Historically, these objects were studied long before the theorem was known.
+My notes are at http://notes.example/u/3.
+If the space is not connected, the claim fails for n < 7.
+Typo in line 12: read 5 in place of 6.
+Hi all, I am stuck on this exercise and would be glad of a hint.
+The girls and boys in the problem class solved it with the help of their teacher.
+Voir le lemme de la page 3 pour un module libre.
+Il s'ensuit que la dimension est bornée par 4.
+Pourriez-vous expliquer pourquoi le groupe reste compact ?
+Se sigue que la norma está acotada por 5, según el teorema.
+¿Por qué el anillo no es libre cuando n es par?
+Supongamos que la curva es conexa y que la función es finita.
+Wir nehmen an, dass die Kurve endlich ist, und nach dem Satz genügt dieser Fall.
+Warum ist das Ideal hier frei?
+Die Schranke 7 ist für normale Fälle scharf, also ist die Norm höchstens 2.
 """.strip().split("\n")

@@ -105,4 +105,4 @@ def report(base: DataFrame, targets: DataFrame) -> DataFrame:
     got = mix(base, planned).groupBy("src").agg(F.count("*").alias("documents"), F.sum(F.col("n") * F.col("times")).alias("tokens"))
     all_ = F.sum("tokens").over(Window.partitionBy())  # over the targets, a small table
     out = planned.join(got, "src", "left").withColumns({"documents": F.coalesce("documents", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0))})
-    return out.select("source", "target_share", "max_repeats", F.col("size").alias("source_tokens"), "repeats", "documents", "tokens", F.coalesce(F.col("tokens") / all_, F.lit(0.0)).alias("reached_share"), "short")
+    return out.select("source", "target_share", "max_repeats", F.col("size").alias("source_tokens"), "repeats", "documents", "tokens", F.coalesce(F.try_divide("tokens", all_), F.lit(0.0)).alias("reached_share"), "short")
