@@ -198,3 +198,9 @@ def slogan_line(text: Column) -> Column:
     """The answer of a generator: its last line, without thoughts and quotes."""
     t = F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
     return F.trim(F.regexp_replace(F.trim(F.element_at(F.split(t, "\n"), -1)), r"^[\"'`]+|[\"'`]+$", ""))
+
+
+def module_file(module: Column, suffix: str = ".lean") -> Column:
+    """The file of a module: dots part folders, but not within guillemets (P25)."""
+    parts = F.regexp_extract_all(module, F.lit("(«[^»]*»|[^.«»]+)"), 0)
+    return F.concat(F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, "[«»]", "")), "/"), F.lit(suffix))

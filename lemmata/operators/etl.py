@@ -109,3 +109,10 @@ def worst_verdict(df: DataFrame, group: str, applies: str, confidence: str) -> D
         F.bool_and(applies).alias("applies"),
         F.coalesce(F.min(F.when(no, F.col(confidence))), F.max(F.col(confidence))).alias("confidence"),
     )
+
+
+def few_shot(elite: DataFrame, texts: DataFrame, k: int = 3) -> DataFrame:
+    """One row: the k best elites as examples, best last, for a generator to go on from (D6); k is the feature."""
+    top = elite.orderBy(F.desc("value"), "cell").limit(k).join(texts, "event_id")
+    line = F.concat(F.lit("# score "), F.round("value", 4).cast("string"), F.lit("\n"), F.col("text"))
+    return top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value", "cell", line.alias("t")))), lambda x: x["t"]), "\n\n").alias("examples"))

@@ -301,3 +301,95 @@ def conjecture(spark, value: str, reach: int = 2, depth: int = 60, min_digits: i
                 yield pd.DataFrame(rows, columns=["a", "b", "image", "digits"])
 
     return grid.mapInPandas(run, "a string, b string, image string, digits int")
+
+
+#: Atoms of the wider relation search: powers, products and logarithms beside the constants.
+WIDE = ("pi", "pi**2", "pi**3", "e", "euler", "catalan", "apery", "log(2)", "log(3)", "sqrt(2)", "sqrt(3)", "sqrt(5)", "pi*sqrt(2)", "pi*sqrt(3)", "pi*log(2)", "log(2)**2")
+
+
+def relations(value: str, check: int = 25) -> list[str]:
+    """Closed forms in one, two or three atoms of the wider basis, or of the value's square root; each verified to check digits or all given."""
+    digits = len(value.strip().lstrip("+-").replace(".", "")) - 1
+    if digits < 20:
+        return []
+    out = []
+    with localcontext() as c:
+        c.prec = digits + 20
+        v = Decimal(value)
+        values = {t: evaluate(t, digits + 5) for t in WIDE}
+        groups = [("1", a) for a in WIDE] + [("1", a, b) for i, a in enumerate(WIDE) for b in WIDE[:i]]
+        for power in (1, 2):
+            for g in groups if power == 1 else groups[: len(WIDE)]:
+                a = lattice_relation([v**power, *[Decimal(1) if t == "1" else values[t] for t in g]], min(digits, 30), 10**4)
+                if a and a[0] and any(a[2:]):
+                    body = " + ".join(f"({-x})*({t})" for x, t in zip(a[1:], g) if x)
+                    expr = f"({body})/({a[0]})" if power == 1 else f"sqrt(({body})/({a[0]}))"
+                    if verify(value, expr, min(check, digits - 2))[0]:
+                        out.append(expr)
+                        return out
+    return out
+
+
+def simple_fraction(value: str, terms: int = 40) -> list[int]:
+    """The terms of the regular continued fraction that the given digits settle: both ends of their interval agree."""
+    v = value.strip()
+    exact = Fraction(v)
+    half = Fraction(1, 2 * 10 ** len(v.partition(".")[2])) if "." in v else Fraction(0)
+    low, high, out = exact - half, exact + half, []
+    for _ in range(terms):
+        a, b = low.numerator // low.denominator, high.numerator // high.denominator
+        if a != b:
+            break
+        out.append(a)
+        low, high = low - a, high - a
+        if not low or not high:
+            break
+        low, high = 1 / high, 1 / low
+    return out
+
+
+def convergent(terms: list[int]) -> Fraction:
+    x = Fraction(terms[-1])
+    for t in reversed(terms[:-1]):
+        x = t + 1 / x
+    return x
+
+
+def pattern(terms: list[int]) -> str | None:
+    """period-1, period-2 or e-type, by lags of the terms after the first; null if fewer than six terms settle it."""
+    t = terms[1:]
+    if len(t) < 6:
+        return None
+    if all(x == t[0] for x in t):
+        return "period-1"
+    if all(x == y for x, y in zip(t, t[2:])):
+        return "period-2"
+    for s in range(3):
+        rest = [x for i, x in enumerate(t) if i % 3 != s]
+        steps = [x for i, x in enumerate(t) if i % 3 == s]
+        if len(steps) >= 3 and all(x == 1 for x in rest) and len({b - a for a, b in zip(steps, steps[1:])}) == 1:
+            return "e-type"
+    return None
+
+
+def fractions(values: DataFrame, key: str = "id", value: str = "value") -> DataFrame:
+    """(key, terms, pattern, digits): regular continued fractions, their pattern, and the digits that the convergent gives back."""
+    base = values.select(F.col(key), F.col(value).cast("string").alias("value")).filter("value IS NOT NULL")
+    kind = dict(base.dtypes)[key]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for k, v in zip(f[key], f["value"]):
+                try:
+                    t = simple_fraction(v)
+                    diff = abs(convergent(t) - Fraction(v)) if t else None
+                except (ValueError, ZeroDivisionError):
+                    t, diff = [], None
+                with localcontext() as c:
+                    c.prec = 60
+                    digits = 0 if diff is None else 50 if not diff else max(0, int(-(Decimal(diff.numerator) / diff.denominator).log10()))
+                rows.append((k, t, pattern(t), digits))
+            yield pd.DataFrame(rows, columns=[key, "terms", "pattern", "digits"])
+
+    return base.mapInPandas(run, f"{key} {kind}, terms array<bigint>, pattern string, digits int")

@@ -154,6 +154,45 @@ def program_elites(s: SparkSession, d: str) -> DataFrame:
     return e.agg(F.count("*").alias("cells"), F.max("value").alias("best"))
 
 
+def few_shot(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    return etl.few_shot(etl.elites(e), e.select("event_id", F.col("props").alias("text")))
+
+
+def relation_search(s: SparkSession, d: str) -> DataFrame:
+    """Constants of the wider basis."""
+    gold = ["4.44288293815836624701588099006069", "2.17758609030360213050064098220640", "0.62345678901928374655647382910238"]
+    rows = [(v, "; ".join(numeric.relations(v))) for v in gold]
+    return s.createDataFrame(rows, "value string, relation string")
+
+
+def continued_fractions(s: SparkSession, d: str) -> DataFrame:
+    """Regular continued fractions of known constants and their patterns."""
+    return numeric.fractions(s.createDataFrame(list(enumerate(GOLD)), "id int, value string"))
+
+
+def module_files(s: SparkSession, d: str) -> DataFrame:
+    """Categories as module paths, guillemets around the last part (P25)."""
+    m = F.concat(F.lit("Lib."), F.col("category"), F.lit(".«"), F.col("paper_id"), F.lit("»"))
+    return table(s, d, "corpus").filter("category <> '' AND paper_id IS NOT NULL").select("doc_id", C.module_file(m).alias("file"))
+
+
+def import_lists(s: SparkSession, d: str) -> DataFrame:
+    src = F.concat(F.lit("import Lib."), F.col("category"), F.lit("\nimport Lib.Basic\n\n"), F.col("statement"))
+    return table(s, d, "corpus").filter("category IS NOT NULL").select("doc_id", F.array_join(X.imports(src), "|").alias("imports"))
+
+
+def transcript_grades(s: SparkSession, d: str) -> DataFrame:
+    """Transcripts made of queries and their best record, graded by whether the answer names it."""
+    c = table(s, d, "candidates").filter("channel = 'rerank' AND NOT isnan(score)").groupBy("query_id").agg(F.max_by("doc_id", F.struct("score", "doc_id")).alias("doc_id"))
+    event = lambda kind, tool, text: F.to_json(F.struct(F.lit(kind).alias("type"), tool.alias("tool"), text.alias("text")))
+    none = F.lit(None).cast("string")
+    t = table(s, d, "queries").join(c, "query_id").select("query_id", "doc_id", F.concat_ws("\n", event("text", none, F.col("query")), F.lit("{broken"), event("tool_use", F.lit("search"), none), event("text", none, F.concat(F.lit("It is "), F.col("doc_id")))).alias("log"))
+    rules = t.select("query_id", F.col("doc_id").alias("pattern"), F.lit(True).alias("required")).unionByName(t.select("query_id", F.lit("unavailable").alias("pattern"), F.lit(False).alias("required")))
+    a = X.transcripts(t, "query_id", "log")
+    return X.graded(a, "query_id", rules).join(a, "query_id").select("query_id", "passed", F.size("tools").alias("tools"))
+
+
 def tpch_pricing(s: SparkSession, d: str) -> DataFrame:
     """An extra without parity claim: pushed filter, pruned columns, partial sums."""
     t = table(s, d, "lineitem").filter("l_shipdate <= TIMESTAMP_NTZ '1998-09-02 00:00:00'")
@@ -163,7 +202,7 @@ def tpch_pricing(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (extract_envs, env_kinds, lean_decls, wiki_sections, checklist, problem_signature, problem_givens, mapping, domain_scores, search_directives, input_router, json_props, ngram_index, sequence_match, identify_constant, verify_numeric, conjecture_cf, add_findings, stream_append, findings_snapshot_age, events_tumbling, events_session, program_elites, tpch_pricing)
+    for f in (extract_envs, env_kinds, lean_decls, wiki_sections, checklist, problem_signature, problem_givens, mapping, domain_scores, search_directives, input_router, json_props, ngram_index, sequence_match, identify_constant, verify_numeric, conjecture_cf, add_findings, stream_append, findings_snapshot_age, events_tumbling, events_session, program_elites, few_shot, relation_search, continued_fractions, module_files, import_lists, transcript_grades, tpch_pricing)
 }
 
 _NEED = "CASE " + " ".join(f"WHEN contains(lower(t), '{c}') THEN regexp_replace(substr(t, strpos(lower(t), '{c}')), '\\.+$', '')" for c in X.NEED_CUES) + " ELSE t END"
@@ -193,5 +232,8 @@ SELECT * FROM (SELECT query_id, a_number, off AS "offset", off = 0 AS exact_pref
     "events_session": """WITH a AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events WHERE ts IS NOT NULL),
 b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, min(ts) AS start, count(*) AS n FROM b GROUP BY user_id, s""",
     "program_elites": "SELECT count(*) AS cells, max(m) AS best FROM (SELECT event_type, max(value) AS m FROM events WHERE value IS NOT NULL GROUP BY 1)",
+    "module_files": "SELECT doc_id, concat('Lib/', replace(category, '.', '/'), '/', paper_id, '.lean') AS file FROM corpus WHERE category <> '' AND paper_id IS NOT NULL",
+    "import_lists": "SELECT doc_id, concat('Lib.', regexp_extract(category, '^(\\S*)', 1), '|Lib.Basic') AS imports FROM corpus WHERE category IS NOT NULL",
+    "transcript_grades": "SELECT query_id, true AS passed, 1 AS tools FROM queries WHERE query_id IN (SELECT query_id FROM candidates WHERE channel = 'rerank' AND NOT isnan(score))",
     "tpch_pricing": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
 }

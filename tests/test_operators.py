@@ -233,3 +233,25 @@ def test_dedup_is_the_same_however_rows_are_spread(spark):
     for f in (lambda x: etl.dedup_within(x), lambda x: etl.dedup_in_group(x, "paper_id").select("doc_id")):
         assert {r[0] for r in f(df).collect()} == {r[0] for r in f(df.repartition(7)).collect()}
     assert etl.dedup_within(df).count() == 3
+
+
+def test_wider_relations_and_fractions(spark):
+    assert numeric.relations("4.44288293815836624701588099006069")  # pi * sqrt(2)
+    assert not numeric.relations("0.62345678901928374655647382910238")
+    t = numeric.simple_fraction("2.71828182845904523536028747135266249775724709369995")
+    assert t[:8] == [2, 1, 2, 1, 1, 4, 1, 1] and numeric.pattern(t) == "e-type"
+    assert numeric.pattern(numeric.simple_fraction("1.61803398874989484820458683436563811772")) == "period-1"
+    assert numeric.pattern(numeric.simple_fraction("1.73205080756887729352744634150587236694")) == "period-2"
+    assert numeric.pattern(numeric.simple_fraction("3.14159265358979323846264338327950288419")) is None
+    got = numeric.fractions(spark.createDataFrame([(1, "0.5"), (2, "x"), (3, None), (4, "1.41421356237309504880168872420969807857")], "id long, value string")).collect()
+    assert {r["id"] for r in got} == {1, 2, 4} and next(r for r in got if r["id"] == 4)["pattern"] == "period-1"
+
+
+def test_small_parsers(spark):
+    assert one(spark, C.module_file, "A.B.«c.d».E") == "A/B/c.d/E.lean"
+    assert one(spark, X.imports, "import A.B\nimport C\n-- import D\ntheorem x") == ["A.B", "C"]
+    log = '{"type": "text", "text": "a"}\n{broken\n{"type": "tool_use", "tool": "t"}\n{"type": "text", "text": "the end"}\n'
+    a = X.transcripts(spark.createDataFrame([(1, log), (2, ""), (3, None)], "id long, log string"), "id", "log")
+    assert {r["id"]: (r["answer"], r["tools"]) for r in a.collect()} == {1: ("the end", ["t"]), 2: (None, []), 3: (None, None)}
+    rules = spark.createDataFrame([(1, "end", True), (1, "bad", False), (2, "x", True)], "id long, pattern string, required boolean")
+    assert {r["id"]: r["passed"] for r in X.graded(a, "id", rules).collect()} == {1: True, 2: False}
