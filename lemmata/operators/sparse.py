@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmata.functions import columns as C
-from lemmata.plans.runtime import BROADCAST_ROWS, partitions_of
+from lemmata.plans.runtime import BROADCAST_ROWS, materialize, partitions_of
 
 K1, B = 1.5, 0.75
 
@@ -56,3 +60,112 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, rank, score) of the k best of each query; ties by id; partial lists before the shuffle."""
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
     return scored.withColumn("rank", r).filter(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
+
+
+#: Records to a block of the index, and queries to a block that is scored against it.
+DOC_BLOCK, QUERY_BLOCK = 4096, 512
+_INDEX = "ids array<string>, keep array<boolean>, lens array<int>, terms array<string>, ends array<int>, docs array<int>, tfs array<int>"
+
+
+def block_index(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: Column | None = None) -> DataFrame:
+    """The postings of DOC_BLOCK records to a row: distinct terms, and by term the records and their counts. Written once."""
+    base = docs.select(F.col(key).cast("string").alias("id"), (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("keep"), F.coalesce(C.tokens(F.col(text)), F.array().cast("array<string>")).alias("t"))
+
+    def block(b: pa.Table) -> pa.RecordBatch:
+        t = b["t"].combine_chunks()
+        n = np.diff(np.asarray(t.offsets))
+        words = t.flatten().dictionary_encode()
+        term, of = words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(n)), n)
+        pair, tf = np.unique(term * len(n) + of, return_counts=True) if len(term) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        term, doc = pair // max(1, len(n)), pair % max(1, len(n))
+        ends = np.searchsorted(term, np.arange(len(words.dictionary)), side="right")
+
+        def row(x, kind):
+            x = x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x.astype(np.int32))
+            x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+            return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(kind))
+
+        return pa.RecordBatch.from_arrays(
+            [row(b["id"], pa.string()), row(b["keep"], pa.bool_()), row(n, pa.int32()), row(words.dictionary, pa.string()), row(ends, pa.int32()), row(doc, pa.int32()), row(tf, pa.int32())],
+            names=[f.split()[0] for f in _INDEX.split(", ")],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            for a in range(0, b.num_rows, DOC_BLOCK):
+                held.append(b.slice(a, DOC_BLOCK))
+                rows += held[-1].num_rows
+                if rows >= DOC_BLOCK:
+                    yield block(pa.Table.from_batches(held))
+                    held, rows = [], 0
+        if rows:
+            yield block(pa.Table.from_batches(held))
+
+    return materialize(base.mapInArrow(run, _INDEX), "bm25-index")
+
+
+def _counts(index: DataFrame) -> DataFrame:
+    """(term, df) over all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for terms, ends in zip(b["terms"], b["ends"]):
+                e = np.asarray(ends.values)
+                yield pa.RecordBatch.from_arrays([terms.values, pa.array(np.diff(np.r_[0, e]).astype(np.int64))], names=["term", "df"])
+
+    return index.select("terms", "ends").mapInArrow(run, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def block_top(docs: DataFrame, terms: DataFrame, k: int, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, keep: Column | None = None) -> DataFrame:
+    """(query_id, doc_id, rank, score) of the k best, as top(scores(...)), on blocks.
+
+    Blocks of queries meet blocks of records; a block adds up arrays by term and passes on its k best of each
+    query, so neither all scored pairs nor a common term's postings are ever shuffled.
+    """
+    index = block_index(docs, key, text, keep)
+    stats = index.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.aggregate("lens", F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0)).alias("total")).first()
+    n, avgdl = stats["n"], (stats["total"] / stats["n"] if stats["total"] else 1.0)
+    idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = terms.join(_counts(index), "term").select("query_id", F.struct("term", idf.alias("idf")).alias("w")).groupBy("query_id").agg(F.collect_list("w").alias("w"))
+    blocks = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-weighted.count() // QUERY_BLOCK))))
+    queries = weighted.groupBy(blocks.alias("block")).agg(F.collect_list(F.struct("query_id", "w")).alias("q"))
+    q_kind = dict(terms.dtypes)["query_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x = {c: batch[c][r] for c in batch.schema.names}
+                ids, keep_ = x["ids"].values, np.asarray(x["keep"].values.to_numpy(zero_copy_only=False), bool)
+                lens, ends, doc, tf = (np.asarray(x[c].values) for c in ("lens", "ends", "docs", "tfs"))
+                at = {t: i for i, t in enumerate(x["terms"].values.to_pylist())}
+                gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[doc] / avgdl))
+                out_q, out_d, out_s = [], [], []
+                for q in x["q"].as_py():
+                    score, hit = np.zeros(len(lens)), np.zeros(len(lens), bool)
+                    for w in sorted(q["w"], key=lambda w: w["term"]):
+                        i = at.get(w["term"])
+                        if i is not None:
+                            s = slice(ends[i - 1] if i else 0, ends[i])
+                            score[doc[s]] += w["idf"] * gain[s]
+                            hit[doc[s]] = True
+                    found = np.flatnonzero(hit & keep_)
+                    if len(found) > k:
+                        v = np.round(score[found], 9)
+                        floor = np.partition(v, -k)[-k]
+                        better, ties = found[v > floor], found[v == floor]
+                        if len(better) + len(ties) > k:  # of equal scores the least ids
+                            names = ids.take(pa.array(ties)).to_pylist()
+                            ties = ties[sorted(range(len(ties)), key=names.__getitem__)[: k - len(better)]]
+                        found = np.r_[better, ties]
+                    out_q.extend([q["query_id"]] * len(found))
+                    out_d.append(found)
+                    out_s.append(score[found])
+                if out_q:
+                    yield pa.RecordBatch.from_arrays([pa.array(out_q, batch_kind), ids.take(pa.array(np.concatenate(out_d))), pa.array(np.concatenate(out_s))], names=["query_id", "doc_id", "score"])
+
+    batch_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[q_kind]
+    pairs = index.repartition(partitions_of(docs.sparkSession)).crossJoin(queries.select("q"))  # of blocks: a stated query set against all rows
+    # a pair of blocks is some MB; few at a time keep a worker's memory small
+    found = pairs.mapInArrow(run, f"query_id {q_kind}, doc_id string, score double")
+    return top(found, k)

@@ -61,7 +61,7 @@ def search_existing(queries: DataFrame, corpus: DataFrame, config: Config = Conf
         allowed = docs.filter(keep).select("doc_id")
         channels["dense"] = dense.join(allowed, "doc_id", "left_semi").filter(F.col("rank") <= depth).select("query_id", "doc_id", "rank")
     if config.mode != "dense":
-        channels["sparse"] = sparse.top(sparse.scores(docs, terms, keep=keep), depth)
+        channels["sparse"] = sparse.block_top(docs, terms, depth, keep=keep)
     if not channels:
         raise ValueError("the dense mode needs a dense ranking")
     fused = fuse.rrf(channels, config.rrf_k)
@@ -75,7 +75,7 @@ def search_existing(queries: DataFrame, corpus: DataFrame, config: Config = Conf
     if findings is None:
         return out
     f = findings.withColumn("text", F.concat_ws(" ", C.filled(F.col("name")), C.filled(F.col("slogan")), C.filled(F.col("statement")), C.filled(F.col("source"))))
-    live = sparse.top(sparse.scores(f, terms), config.k)
+    live = sparse.block_top(f, terms, config.k)
     stmt = F.substring(F.lower(C.strip(F.col("statement"))), 1, 200).alias("stmt_key")
     a = out.select("query_id", "doc_id", F.col("place").alias("rank"), stmt)
     b = live.join(f.select("doc_id", stmt).groupBy("doc_id").agg(F.min("stmt_key").alias("stmt_key")), "doc_id")

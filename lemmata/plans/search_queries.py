@@ -40,7 +40,7 @@ def df_idf(s: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(s: SparkSession, d: str, k: int, keep=None) -> DataFrame:
-    return sparse.top(sparse.scores(_docs(s, d), _terms(s, d), keep=keep), k)
+    return sparse.block_top(_docs(s, d), _terms(s, d), k, keep=keep)
 
 
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
@@ -204,7 +204,7 @@ def live_merge(s: SparkSession, d: str) -> DataFrame:
     key = F.substring(F.lower(C.strip(F.col("statement"))), 1, 200)
     corpus = _channels(s, d)["dense"].filter("rank <= 10").join(table(s, d, "corpus").select("doc_id", key.alias("stmt_key")), "doc_id")
     f = table(s, d, "findings").select("doc_id", "statement", F.concat_ws(" ", C.filled(F.col("name")), C.filled(F.col("slogan")), C.filled(F.col("statement")), C.filled(F.col("source"))).alias("text")).distinct()
-    found = sparse.top(sparse.scores(f, _terms(s, d)), 10).join(f.select("doc_id", key.alias("stmt_key")).groupBy("doc_id").agg(F.min("stmt_key").alias("stmt_key")), "doc_id")
+    found = sparse.block_top(f, _terms(s, d), 10).join(f.select("doc_id", key.alias("stmt_key")).groupBy("doc_id").agg(F.min("stmt_key").alias("stmt_key")), "doc_id")
     return fuse.live_merge({"corpus": corpus, "findings": found}).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 

@@ -52,6 +52,19 @@ def test_bm25_equals_the_formula(spark):
     assert [r["doc_id"] for r in only] == ["c"] and abs(only[0]["score"] - want[1, "c"]) < 1e-9
 
 
+def test_blocks_rank_like_joins(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "DOC_BLOCK", 7)
+    monkeypatch.setattr(sparse, "QUERY_BLOCK", 2)
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(f"d{i:02d}", " ".join(rng.choices("abcdefgh", k=rng.randint(0, 9))) if i else None) for i in range(60)], "doc_id string, text string").repartition(3)
+    terms = sparse.query_terms(spark.createDataFrame([(i, " ".join(rng.choices("abcdefghxyz", k=3))) for i in range(9)], "query_id long, query string"))
+    for keep in (None, F.col("doc_id") > "d20"):
+        want = sparse.top(sparse.scores(docs, terms, keep=keep), 5).collect()
+        got = sparse.block_top(docs, terms, 5, keep=keep).collect()
+        assert {(r[0], r[1], r[2], round(r[3], 9)) for r in got} == {(r[0], r[1], r[2], round(r[3], 9)) for r in want}
+    assert sparse.block_top(docs.limit(0), terms, 5).count() == 0 and sparse.block_top(docs, terms.limit(0), 5).count() == 0
+
+
 def test_postings_round_trip_and_manifest(spark, tmp_path):
     df = spark.createDataFrame([("a", "x y x"), ("b", "")], "doc_id string, text string")
     p = sparse.postings(df)
