@@ -88,10 +88,13 @@ class Tokens:
         self.ids: dict[str, int] = {}
         self.hashes: list[int] = []
         self.ends: list[bool] = []
+        self.letters: list[str] = []
 
     def new(self, token: str) -> int:
         n = self.ids[token] = len(self.hashes)
         self.hashes.append(crc32(plain(token).encode()))
+        bare = token.strip(_EDGES)
+        self.letters.append(bare if len(bare) == 1 and bare.isalpha() else "")
         self.ends.append(token.rstrip("\"'”»)").endswith((".", "!", "?", "…")))
         return n
 
@@ -112,9 +115,22 @@ class Tokens:
         first = np.r_[True, ends[:-1]] if len(ids) else np.zeros(0, bool)
         starts = np.cumsum([0] + sizes[:-1]).astype(np.int64) if sizes else np.zeros(0, np.int64)
         first[starts[(np.array(sizes) > 0)]] = True
+        self.join_letters(ids, h, first)
         return h, first, np.array(sizes, np.int64)
 
 
+    def join_letters(self, ids: np.ndarray, h: np.ndarray, first: np.ndarray) -> None:
+        """Three or more single letters in a row stand for the word that they spell."""
+        on = np.array([bool(x) for x in self.letters] or [False])[ids]
+        if not on.any():
+            return
+        before = np.r_[False, on[:-1]] & ~first
+        after = np.r_[on[1:] & ~first[1:], False]
+        for a, b in zip(np.flatnonzero(on & ~before), np.flatnonzero(on & ~after) + 1):
+            if b - a >= 3:
+                h[a:b] = crc32(plain("".join(self.letters[i] for i in ids[a:b])).encode())
+
+
 def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """FEATURES x tokens: places of the hashed features in the table of weights."""
     n = len(h)
@@ -220,8 +236,11 @@ def spans(p: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return a, b, (sums[b] - sums[a]) / np.maximum(b - a, 3)
 
 
-def seed_passages() -> tuple[list[str], list[int]]:
-    """The seeds with their slots filled in turn, and their labels."""
+def seed_passages() -> tuple[list[str], list[list[int]]]:
+    """The seeds with their slots filled in turn, and a label for each token.
+
+    Every second abusive one also occurs in lower case without its full stop and with a clean one after it.
+    """
     texts, labels = [], []
     for passage in ABUSIVE:
         names = re.findall(r"\{(\w+)\}", passage)
@@ -230,10 +249,14 @@ def seed_passages() -> tuple[list[str], list[int]]:
             for j, s in enumerate(names):
                 t = t.replace("{" + s + "}", SLOTS[s][(i * (j + 1) + j) % len(SLOTS[s])], 1)
             texts.append(t)
-            labels.append(1)
+            labels.append([1] * len(t.split()))
+            if len(texts) % 2:
+                clean = CLEAN[len(texts) // 2 % len(CLEAN)]
+                texts.append(f"{t.lower().rstrip('.!?')} {clean}")
+                labels.append([1] * len(t.split()) + [0] * len(clean.split()))
     for passage in CLEAN:
         texts.extend([passage] * 8)
-        labels.extend([0] * 8)
+        labels.extend([[0] * len(passage.split())] * 8)
     return texts, labels
 
 
@@ -255,8 +278,8 @@ def train(labelled: list[tuple[str, float]]) -> Field:
     texts, labels = seed_passages()
     clean = [t for t, share in labelled if share == 0]
     bad = [t for t, share in labelled if share > 0.5]
-    h, first, size = tokens.encode(texts)
-    y = np.repeat(labels, size)
+    h, first, _ = tokens.encode(texts)
+    y = np.array([x for row in labels for x in row])
     h2, first2, _ = tokens.encode(clean)
     f, start, label = features(np.r_[h, h2], np.r_[first, first2]), np.r_[first, first2], np.r_[y, np.zeros(len(h2))]
     field = Field().fit(f, start, label)

@@ -22,6 +22,19 @@ def test_plain(token, want):
     assert A.plain(token) == want
 
 
+def test_letters_apart_spell_a_word():
+    t = A.Tokens()
+    assert t.encode(["such f u c k i n g dogs"])[0][1] == t.encode(["fucking"])[0][0]
+    h = t.encode(["let x y be. a b c"])[0]
+    assert h[1] != h[2] or h[1] == t.encode(["x"])[0][0]
+
+
+def test_passage_without_a_full_stop(field):
+    h, first, _ = A.Tokens().encode(["Dann ist die Norm 7. verpiss dich, du arschloch Dann ist jedes Feld bereits kompakt."])
+    p = field.marginals(A.features(h, first), first)
+    assert (p[5:9] > 0.5).all() and (p[:5] < 0.5).all() and (p[10:] < 0.5).all()
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     f = A.Field()
