@@ -10,10 +10,11 @@ Below, a node's fingerprints are sorted by Gray rank, so that neighbours share m
 differences to these shared bits on the way down and drops a whole group once they exceed the limit.
 What is left is checked exactly: shared words over all words of both, at least ``threshold``.
 
-Equal word sets are one class from the start and travel once. Nodes with more than ``HOT`` records are
-not searched as a whole: they are range-partitioned by Gray rank over all tasks, each record is compared
-with the ``WINDOW`` before it, and where tasks meet, their ends are compared again. Classes are closed by
-alternating star contraction, every round written to the shared folder.
+Equal word sets are one class from the start and travel once. Nodes with more than ``HOT`` records do not
+go to one task: they are range-partitioned by Gray rank over all tasks and packed into blocks of up to
+``HOT``. Every two blocks of a node meet, unless the bits that each of them shares already differ too
+much, and are searched through the same hierarchy, so that such a node loses no pair that a small one
+would find. Classes are closed by alternating star contraction, every round written to the shared folder.
 
 Defined results
 * a record with a null or blank statement is in no group; a null slogan counts as empty;
@@ -31,6 +32,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,9 @@ LIMIT = 40
 FILTER_BITS = 1 << 23
 #: Words in fewer than this share of the records weigh the same; so at most (words a record) / COMMON words have a weight of their own.
 COMMON = 0.002
-FANOUT, HOT, WINDOW, ENDS = 16, 16_000, 512, 64
+FANOUT, HOT = 16, 16_000
+#: Pairs that a search holds at a time.
+HELD = 1 << 22
 
 _ENTITY = r"&(?:\#\w+|[A-Za-z]\w{1,15});"
 _NOISE = re.compile(
@@ -228,11 +232,18 @@ def _differ(a: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> n
 
 def _near(bits: tuple[np.ndarray, np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i < j) of fingerprints, sorted by Gray rank, that differ in at most limit bits, through the hierarchy."""
-    n = len(bits[0])
-    if n <= FANOUT:
-        i, j = np.triu_indices(n, 1)
+    if len(bits[0]) <= FANOUT:
+        i, j = np.triu_indices(len(bits[0]), 1)
         ok = _differ(bits, i, j) <= limit
         return i[ok], j[ok]
+    i, j = zip(*_near_parts(bits, limit))
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _near_parts(bits: tuple[np.ndarray, np.ndarray], limit: int, asked: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of _near, some at a time; or, if others are asked for, all pairs (place in asked, place in bits)."""
+    n, own = len(bits[0]), asked is None
+    asked = bits if asked is None else asked
     levels = []  # from the leaves up, of each word: the bits that all records below share, and where they are
     low = high = bits
     while len(low[0]) > FANOUT:
@@ -240,28 +251,28 @@ def _near(bits: tuple[np.ndarray, np.ndarray], limit: int) -> tuple[np.ndarray,
         low = tuple(np.bitwise_and.reduceat(x, starts) for x in low)
         high = tuple(np.bitwise_or.reduceat(x, starts) for x in high)
         levels.append((low, tuple(~(x ^ y) for x, y in zip(low, high))))
-    out_i, out_j = [], []
-    for a in range(0, n, 2048):  # searches are made by blocks of records to bound the memory
-        q = np.arange(a, min(n, a + 2048))
-        top = len(levels[-1][0][0])
+    step = max(1, min(2048, HELD // max(1, n)))
+    for a in range(0, len(asked[0]), step):  # searches are made by blocks of records to bound the memory
+        q = np.arange(a, min(len(asked[0]), a + step))
+        top = len(low[0])
         at, node = np.repeat(q, top), np.tile(np.arange(top), len(q))
         for level in range(len(levels) - 1, -1, -1):
             shared, mask = levels[level]
-            differ = sum(np.bitwise_count((x[at] ^ s[node]) & m[node]) for x, s, m in zip(bits, shared, mask))
-            # a record is only paired with later ones: groups that end before it are dropped
-            ok = (differ <= limit) & ((node + 1) * FANOUT ** (level + 1) > at)
+            differ = sum(np.bitwise_count((x[at] ^ s[node]) & m[node]) for x, s, m in zip(asked, shared, mask))
+            ok = differ <= limit
+            if own:  # a record is only paired with later ones: groups that end before it are dropped
+                ok &= (node + 1) * FANOUT ** (level + 1) > at
             at, node = at[ok], node[ok]
             below = n if level == 0 else len(levels[level - 1][0][0])
             node = (node[:, None] * FANOUT + np.arange(FANOUT)).reshape(-1)
             at = np.repeat(at, FANOUT)
             ok = node < below
             at, node = at[ok], node[ok]
-        ok = node > at
-        at, node = at[ok], node[ok]
-        ok = _differ(bits, at, node) <= limit
-        out_i.append(at[ok])
-        out_j.append(node[ok])
-    return np.concatenate(out_i), np.concatenate(out_j)
+        if own:
+            ok = node > at
+            at, node = at[ok], node[ok]
+        ok = sum(np.bitwise_count(x[at] ^ y[node]) for x, y in zip(asked, bits)) <= limit
+        yield at[ok], node[ok]
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -313,52 +324,75 @@ def _search(limit: int):
     return run
 
 
-def _window(limit: int, width: int):
-    """Rows in order of key and Gray rank: each with those up to width before it; and the ends of each key's run in this task."""
+MEMBER = np.dtype([("g", "<u8"), ("f", "<u8"), ("rep", "<i8")])
+
+
+def _blocks(size: int):
+    """Rows in order of key and Gray rank, packed into blocks of one key and up to size rows, with the bits that are on, and those that are off, in all of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "key", "g", "f", "rep"]
+        number = TaskContext.get().partitionId() << 32
+        held = (np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+        def block(key, g, f, rep) -> pa.RecordBatch:
+            rows = np.empty(len(key), MEMBER)
+            rows["g"], rows["f"], rows["rep"] = g, f, rep
+            bits = from_gray(g, f)
+            shared = [np.bitwise_and.reduce(x) for x in bits] + [~np.bitwise_or.reduce(x) for x in bits]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key[:1]), pa.array([number], pa.int64()), *(pa.array(np.array([x], np.uint64).view(np.int64)) for x in shared), pa.array([rows.tobytes()], pa.binary())],
+                names=["key", "block", "on_g", "on_f", "off_g", "off_f", "x"],
+            )
+
+        for batch in batches:
+            held = tuple(np.concatenate(x) for x in zip(held, _columns(batch)))
+            key, done = held[0], 0
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+            for s, e in zip(first, np.r_[first[1:], len(key)]):
+                for a in range(s, e, size):
+                    if e < len(key) or e - a >= size:  # else the next batch may go on with it
+                        done = min(a + size, e)
+                        yield block(*(x[a:done] for x in held))
+                        number += 1
+            held = tuple(x[done:] for x in held)
+        if len(held[0]):
+            yield block(*held)
+
+    return run
 
-        def pairs(a, b):
-            none = pa.nulls(len(a), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), none, none, none], names=names)
 
-        def ends(key, g, f, rep):
-            none = pa.nulls(len(key), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(key), pa.array(g.view(np.int64)), pa.array(f.view(np.int64)), pa.array(rep)], names=names)
+def _meet(limit: int):
+    """Two blocks a row, or one with itself, to pairs of records."""
 
-        tail = None
-        last = (np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = _columns(batch)
-            if not len(new[0]):
-                continue
-            old = 0 if tail is None else len(tail[0])
-            key, g, f, rep = new if tail is None else tuple(np.concatenate(x) for x in zip(tail, new))
-            bits = from_gray(g, f)
-            for d in range(1, min(width, len(key) - 1) + 1):
-                lo = max(0, old - d)
-                i = np.arange(lo, len(key) - d)
-                i = i[key[i] == key[i + d]]
-                i = i[_differ(bits, i, i + d) <= limit]
-                if len(i):
-                    yield pairs(np.minimum(rep[i], rep[i + d]), np.maximum(rep[i], rep[i + d]))
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            run_of = np.repeat(first, np.diff(np.r_[first, len(key)]))
-            head = (np.arange(len(key)) - run_of < ENDS) & (np.arange(len(key)) >= old)
-            if old and key[0] == key[min(old, len(key) - 1)]:
-                head &= run_of > 0  # the run goes on from the batch before
-            if head.any():
-                yield ends(key[head], g[head], f[head], rep[head])
-            tail = tuple(x[-width:] for x in (key, g, f, rep))
-            last = tuple(x[-ENDS:] for x in (key, g, f, rep))
-        if len(last[0]):
-            yield ends(*last)
+            for k in range(batch.num_rows):
+                p, q = (np.frombuffer(batch[c][k].as_py(), MEMBER) for c in ("x", "y"))
+                own = batch["i"][k].as_py() == batch["j"][k].as_py()
+                for s, t in _near_parts(from_gray(q["g"], q["f"]), limit, None if own else from_gray(p["g"], p["f"])):
+                    if len(s):
+                        x, y = p["rep"][s], q["rep"][t]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
 
-def candidates(rows: DataFrame, hot: DataFrame, limit: int = LIMIT, width: int = WINDOW) -> DataFrame:
+def crowded(nodes: DataFrame, limit: int, size: int, tasks: int) -> DataFrame:
+    """Pairs of representatives in nodes of any size: every two blocks of a node that may hold a pair meet in some task."""
+    # Gray ranks are unsigned: with the first bit turned they sort as signed numbers do
+    order = [F.col(c).bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")) for c in ("g", "f")] + [F.col("rep")]
+    schema = "key int, block bigint, on_g bigint, on_f bigint, off_g bigint, off_f bigint, x binary"
+    nodes = nodes.repartitionByRange(tasks, "key", *order).sortWithinPartitions("key", *order)
+    blocks = materialize(nodes.mapInArrow(_blocks(size), schema), "dup-blocks")
+    p, q = (blocks.select("key", F.col("block").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("on_g", "on_f", "off_g", "off_f"))) for n in "ij")
+    apart = [F.bit_count(F.col(f"i_{x}_{c}").bitwiseAND(F.col(f"j_{y}_{c}"))) for c in "gf" for x, y in (("on", "off"), ("off", "on"))]
+    both = p.join(q, "key").filter("i <= j").filter(apart[0] + apart[1] + apart[2] + apart[3] <= limit).select("i", "j")
+    both = both.join(blocks.select(F.col("block").alias("i"), "x"), "i").repartition(tasks, "j")
+    both = both.join(blocks.select(F.col("block").alias("j"), F.col("x").alias("y")), "j")
+    return both.select("i", "j", "x", "y").mapInArrow(_meet(limit), "a bigint, b bigint")
+
+
+def candidates(rows: DataFrame, hot: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Distinct pairs (a < b) of representatives whose fingerprints differ in at most limit bits."""
     spark = rows.sparkSession
     n = partitions_of(spark)
@@ -367,14 +401,7 @@ def candidates(rows: DataFrame, hot: DataFrame, limit: int = LIMIT, width: int =
     usual = nodes.join(hot, "key", "left_anti") if some else nodes
     found = usual.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_search(limit), "a bigint, b bigint")
     if some:
-        # Gray ranks are unsigned: with the first bit turned they sort as signed numbers do
-        order = [F.col(c).bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")) for c in ("g", "f")] + [F.col("rep")]
-        schema = "a bigint, b bigint, key int, g bigint, f bigint, rep bigint"
-        crowd = nodes.join(hot, "key", "left_semi").repartitionByRange(n, "key", *order).sortWithinPartitions("key", *order)
-        crowd = materialize(crowd.mapInArrow(_window(limit, width), schema), "dup-crowd")
-        meet = crowd.filter("key IS NOT NULL").select("key", "g", "f", "rep").distinct().repartition(n, "key").sortWithinPartitions("key", *order)
-        meet = meet.mapInArrow(_window(limit, 4 * ENDS), schema)
-        found = found.unionByName(crowd.filter("a IS NOT NULL").select("a", "b")).unionByName(meet.filter("a IS NOT NULL").select("a", "b"))
+        found = found.unionByName(crowded(nodes.join(hot, "key", "left_semi"), limit, HOT, n))
     return found.distinct()
 
 

@@ -63,6 +63,15 @@ def test_crowded_nodes_are_split_and_lose_no_class(spark, monkeypatch):
     assert pairs(v.pairs()) <= brute(rows)
 
 
+def test_crowded_nodes_find_what_comparing_all_finds(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 150)
+    base = [f"w{i}" for i in range(60)]
+    left_out = random.Random(6).sample([(i, j) for i in range(60) for j in range(i)], 700)
+    rows = [(f"d{k:03d}", None, " ".join(w for i, w in enumerate(base) if i not in x)) for k, x in enumerate(left_out)] + corpus(2, groups=5)
+    want = brute(rows)
+    assert pairs(N.Versions(frame(spark, rows)).pairs()) == want and len(want) >= 700 * 699 // 2
+
+
 def test_empty(spark):
     v = N.Versions(frame(spark, [("a", None, None)]))
     assert v.pairs().count() == 0 and v.classes().count() == 0
