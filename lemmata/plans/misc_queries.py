@@ -107,8 +107,8 @@ def verify_numeric(s: SparkSession, d: str) -> DataFrame:
 
 
 def conjecture_cf(s: SparkSession, d: str) -> DataFrame:
-    """The golden ratio from the grid of continued fractions."""
-    return numeric.conjecture(s, "1.61803398874989484820458683436563811772030917980576", reach=1, parts=4)
+    """The golden ratio from the whole grid of continued fractions."""
+    return numeric.conjecture(s, "1.61803398874989484820458683436563811772030917980576")
 
 
 def add_findings(s: SparkSession, d: str) -> DataFrame:

@@ -164,6 +164,12 @@ def test_verify_and_conjecture(spark):
     assert numeric.continued_fraction((0, 0, 0), (0, 0, 0), 5) is None
 
 
+def test_conjecture_has_quadratic_terms_and_all_images(spark):
+    hits = numeric.conjecture(spark, "3.14159265358979323846264338327950288419716939937511", reach=2, parts=4).collect()
+    assert ("(1, 2, 0)", "(0, 0, 1)", "4/x") in {(r["a"], r["b"], r["image"]) for r in hits} and all(r["digits"] >= 25 for r in hits)
+    assert len(numeric.images(numeric.Decimal(3))) == 9 and set(numeric.images(numeric.Decimal(0))) == {"x-1", "x+1"}
+
+
 @pytest.mark.parametrize(
     "text, needs, gives",
     [
