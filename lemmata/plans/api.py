@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lemmata.functions import columns as C
@@ -44,8 +44,9 @@ class Config:
 def search_existing(queries: DataFrame, corpus: DataFrame, config: Config = Config(), dense: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, place, score, statement, source): the ranking of the batch (M3).
 
-    dense: a ranking (query_id, doc_id, rank) of the dense channel, if there is one. findings join by their own
-    statistics. Filters apply before ranking; texts join after the limit.
+    dense: a ranking (query_id, doc_id, rank) of the dense channel, if there is one; it is numbered anew among the
+    allowed records, so it should reach as deep as they lie. findings join by their own statistics. Filters apply
+    before ranking; texts join after the limit.
     """
     key = C.source_key(F.col("doc_id"), F.col("source"))
     docs = corpus.withColumn("_k", key).withColumn("text", C.sparse_text(F.col("name"), F.col("slogan"), F.col("statement"), F.col("label")))
@@ -59,7 +60,8 @@ def search_existing(queries: DataFrame, corpus: DataFrame, config: Config = Conf
     channels = {}
     if config.mode != "sparse" and dense is not None:
         allowed = docs.filter(keep).select("doc_id")
-        channels["dense"] = dense.join(allowed, "doc_id", "left_semi").filter(F.col("rank") <= depth).select("query_id", "doc_id", "rank")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc_id"))
+        channels["dense"] = dense.join(allowed, "doc_id", "left_semi").select("query_id", "doc_id", place.alias("rank")).filter(F.col("rank") <= depth)
     if config.mode != "dense":
         channels["sparse"] = sparse.block_top(docs, terms, depth, keep=keep)
     if not channels:

@@ -125,6 +125,17 @@ def test_search_knobs(spark):
     assert api.verify_formal("x", "-- sorry\nby simp")["proof_status"] == "UNDETERMINED"
 
 
+def test_search_ranks_the_dense_channel_among_allowed_records(spark):
+    q = spark.createDataFrame([(1, "nothing")], "query_id long, query string")
+    docs = spark.createDataFrame([(f"{i}", None, "s", None, "https://arxiv.org/abs/1" if i <= 60 else "https://stacks.math.columbia.edu") for i in range(1, 64)], "doc_id string, slogan string, statement string, name string, source string").withColumns({"label": F.lit(None).cast("string"), "citations": F.lit("0")})
+    dense = spark.createDataFrame([(1, f"{i}", i) for i in range(1, 64)], "query_id long, doc_id string, rank int")
+    found = api.search_existing(q, docs, api.Config(mode="dense", include=("stacks",)), dense=dense).collect()
+    assert [(r["doc_id"], r["place"]) for r in sorted(found, key=lambda r: r["place"])] == [("61", 1), ("62", 2), ("63", 3)]
+    alone = spark.createDataFrame([(1, f"{i}", i - 60) for i in (61, 62, 63)], "query_id long, doc_id string, rank int")
+    same = api.search_existing(q, docs, api.Config(mode="dense"), dense=alone).collect()
+    assert {(r["doc_id"], r["score"]) for r in found} == {(r["doc_id"], r["score"]) for r in same}
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 3)], "query_id long, doc_id string, rank int")
     truth = spark.createDataFrame([(1, "b"), (2, "c"), (3, "z"), (1, "b")], "query_id long, doc_id string")
