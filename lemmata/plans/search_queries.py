@@ -12,6 +12,7 @@ from lemmata.plans.runtime import materialize, table
 from lemmata.plans.text_queries import _CITED, _KEY, _strip
 
 K, DEPTH = 10, 50
+SHORTLIST = 1000
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
@@ -118,15 +119,31 @@ def hamming_shortlist(s: SparkSession, d: str) -> DataFrame:
     return _hamming(s, d, 50).select("query_id", "doc_id", "rank", (-F.col("score")).cast("bigint").alias("distance"))
 
 
-def binary_rescore(s: SparkSession, d: str) -> DataFrame:
-    """A shortlist by signs, scored by the vectors (R6): the gather is an equi-join on the shortlist's ids."""
+def _rescored(s: SparkSession, d: str, shortlist: int) -> DataFrame:
     v = _vectors(s, d)
-    short = _hamming(s, d, 50).select("query_id", "doc_id")
+    short = _hamming(s, d, shortlist).select("query_id", "doc_id")
     j = short.join(v.select(F.col("id").alias("doc_id"), F.col("embedding").alias("x")), "doc_id").join(v.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
     scored = j.select("query_id", "doc_id", F.round(C.dot(F.col("q"), F.col("x")), 9).alias("score"))
     return dense.top(scored, K).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+def binary_rescore(s: SparkSession, d: str) -> DataFrame:
+    """A shortlist of 50, as its SQL has it, by signs, scored by the vectors (R6): the gather is an equi-join on the shortlist's ids."""
+    return _rescored(s, d, DEPTH)
+
+
+def binary_rescore_full(s: SparkSession, d: str) -> DataFrame:
+    """The same with the reference's shortlist of 1000, or a quarter of the rows where they are more."""
+    return _rescored(s, d, max(SHORTLIST, -(-_vectors(s, d).count() // 4)))
+
+
+def binary_recall(s: SparkSession, d: str) -> DataFrame:
+    """The share of the exact search's first 10 that each of the two shortlists keeps."""
+    exact = materialize(_searched(s, d), "exact")
+    both = [evaluate.agreement(exact, f(s, d), K).select(F.lit(f.__name__).alias("search"), "queries", F.col("overlap").alias("recall")) for f in (binary_rescore, binary_rescore_full)]
+    return both[0].unionByName(both[1])
+
+
 def quantised_agreement(s: SparkSession, d: str) -> DataFrame:
     """How far the int8 search agrees with the exact one."""
     return evaluate.agreement(_searched(s, d), _int8(s, d, K))
@@ -248,7 +265,7 @@ def agreement_topk(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (corpus_stats, tf, df_idf, bm25_topk, bm25_filtered, bm25_score_all, dense_topk, dense_maxsim, absmax_scale, int8_quantize, int8_topk, sign_bits, hamming_shortlist, binary_rescore, quantised_agreement, unit_vectors, hash_embed, hash_embed_topk, rrf_fuse, rrf_modes, rrf_weighted, rrf_prior, rerank_blend, live_merge, recall_at_k, recall_rollup, hit_at_k, agreement_topk)
+    for f in (corpus_stats, tf, df_idf, bm25_topk, bm25_filtered, bm25_score_all, dense_topk, dense_maxsim, absmax_scale, int8_quantize, int8_topk, sign_bits, hamming_shortlist, binary_rescore, binary_rescore_full, binary_recall, quantised_agreement, unit_vectors, hash_embed, hash_embed_topk, rrf_fuse, rrf_modes, rrf_weighted, rrf_prior, rerank_blend, live_merge, recall_at_k, recall_rollup, hit_at_k, agreement_topk)
 }
 
 _BM = f"""
@@ -324,3 +341,4 @@ SELECT count(*) AS queries, count(x.query_id) AS paper_hits, CAST(coalesce(sum(t
     "agreement_topk": f"""WITH {_CH}, a AS (SELECT query_id, list(doc_id) AS s, min_by(doc_id, rank) AS t FROM rk WHERE channel = 'dense' AND rank <= 10 GROUP BY 1), b AS (SELECT query_id, list(doc_id) AS s, min_by(doc_id, rank) AS t FROM rk WHERE channel = 'sparse' AND rank <= 10 GROUP BY 1)
 SELECT count(*) AS queries, round(avg(CASE WHEN a.t = b.t THEN 1.0::DOUBLE ELSE 0 END), 6) AS top1, round(avg(len(list_intersect(a.s, b.s)) / 10.0::DOUBLE), 6) AS overlap FROM a JOIN b USING (query_id)""",
 }
+ORACLE_SQL["binary_rescore_full"] = ORACLE_SQL["binary_rescore"].replace("rank <= 50)", "rank <= (SELECT greatest(1000, ceil(count(*) / 4)) FROM v))")

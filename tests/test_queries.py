@@ -26,3 +26,8 @@ def test_entry(spark):
 
     assert set(QUERIES) <= set(e.queries()) and set(SQL) <= set(e.oracle_sql())
     assert e.entry(spark).limit(1).count() == 1
+
+
+def test_binary_recall(spark, sf):
+    recall = {r["search"]: r["recall"] for r in QUERIES["binary_recall"](spark, sf).collect()}
+    assert recall["binary_rescore_full"] >= 0.9 and recall["binary_rescore_full"] > recall["binary_rescore"]
