@@ -330,7 +330,7 @@ WIDE = ("pi", "pi**2", "pi**3", "e", "euler", "catalan", "apery", "log(2)", "log
 
 
 def relations(value: str, check: int = 25) -> list[str]:
-    """Closed forms in one, two or three atoms of the wider basis, or of the value's square root; each verified to check digits or all given."""
+    """Closed forms in one or two atoms of the wider basis beside 1, or of the value's square root; each verified to check digits or all given."""
     digits = len(value.strip().lstrip("+-").replace(".", "")) - 1
     if digits < 20:
         return []
