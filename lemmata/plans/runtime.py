@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -55,22 +56,54 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a local one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all executors see.
+
+    Where it is unset a local session makes a folder of its own; on a cluster that is an error, because a folder of
+    one machine would be lost to the others.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lemmata-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can read and write")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lemmata-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that holds the intermediate tables of this Spark application."""
+    return f"{shared_folder(spark)}/lemmata-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application: to be called once its results have been written.
+
+    Results are lazy, so materialize() cannot know when its table is done with; at the end of the Python process the
+    tables are deleted in any case.
+    """
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except Exception:  # the application has ended already
+        pass
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     The lineage ends at files that outlive executors, so a lost executor costs a task, not the job.
-    Columns come back in the same order; an empty df keeps its schema.
+    Columns come back in the same order; an empty df keeps its schema. See release() for the end of these tables.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not getattr(spark.sparkContext, "_lemmata_release", False):
+        atexit.register(_release_at_exit, spark)
+        spark.sparkContext._lemmata_release = True
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
