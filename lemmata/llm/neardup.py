@@ -1,20 +1,26 @@
 """Problem 3: records that are versions of each other, grouped without comparing all pairs.
 
 Method: a Gray-order hierarchical index over fingerprints. A record is the set of its distinct words, read
-without markup and character residue. Its lanes are the minima of weighted hashes of its words (rare words
-weigh most, so two lanes agree about as often as two records share what is particular to them); two bits of
-each lane make a 128-bit fingerprint. The top of the index is spread over the cluster: records that agree
-in a masked pattern of three whole lanes meet in one node, and every record is under ``BANDS`` nodes.
-Below, a node's fingerprints are sorted by Gray rank, so that neighbours share most bits; every
-``FANOUT`` of them get a parent that holds the bits they share, level by level. A search adds up the
-differences to these shared bits on the way down and drops a whole group once they exceed the limit.
-What is left is checked exactly: shared words over all words of both, at least ``threshold``.
-
-Equal word sets are one class from the start and travel once. Nodes with more than ``HOT`` records do not
-go to one task: they are range-partitioned by Gray rank over all tasks and packed into blocks of up to
-``HOT``. Every two blocks of a node meet, unless the bits that each of them shares already differ too
-much, and are searched through the same hierarchy, so that such a node loses no pair that a small one
-would find. Classes are closed by alternating star contraction, every round written to the shared folder.
+without markup and character residue. Its lanes are the minima of weighted hashes of its words; bits of every
+lane make its fingerprint. A mask shows the bits of three lanes: records that agree in the masked pattern hang
+under one upper node, and every record is under ``BANDS`` of them, one for each mask. Rows of (masked pattern,
+rest of the fingerprint) are sorted by Gray rank over the whole cluster, so that a node is one run of
+neighbours that share most bits, and a node may go on from one task to the next. Below a node every ``FANOUT``
+neighbours get a parent that holds the bits they share, level by level. A search goes from the node down,
+adds up at each level the differences in the bits newly shared there, and drops a whole group once they
+exceed the limit. What is left is checked exactly: shared words over all words of both, at least ``threshold``.
+
+Weights. A rare word weighs 1, one in all records 0.02, so that a lane agrees about as often as two records
+share what is particular to them. But versions share at least seven words in ten, so no record may hang on the
+fewest of its words: weights are cut at the one that a ``TRUSTED`` share of the record's words does not exceed.
+In a group that makes up much of the collection, where all shared words are common, the words of a single
+version then weigh no more than the shared ones.
+
+Equal word sets are one class from the start and travel once. A node that is cut by the end of a task, or has
+more than ``BLOCK`` records, is handed on in blocks; every two blocks of a node meet, unless the bits that each
+of them shares already differ too much, and are searched through the same hierarchy. So no node, however large,
+is held by one task, and none loses a pair. Classes are closed by alternating star contraction, every round
+written to the shared folder; its joins are plain inner joins, whose hot keys AQE splits.
 
 Defined results
 * a record with a null or blank statement is in no group; a null slogan counts as empty;
@@ -41,16 +47,19 @@ from lemmata.plans.runtime import materialize, partitions_of
 
 THRESHOLD = 0.7
 LANES, BANDS, ROWS = 64, 14, 3
-#: Differing bits of 128 up to which two records are compared exactly: about 20 are expected at the
-#: threshold, and over 60 of unrelated records.
+#: Bits that each lane adds to a masked pattern; three lanes tell 2 ** 36 patterns apart.
+MASKED = 12
+#: Differing bits of the other 128 (two of each lane) up to which two records are compared exactly: about 20 are
+#: expected at the threshold, and over 60 of unrelated records.
 LIMIT = 40
-#: Bits of the filter that keeps word sets without any candidate out of the shuffle; when it fills up it lets all pass.
-FILTER_BITS = 1 << 23
 #: Words in fewer than this share of the records weigh the same; so at most (words a record) / COMMON words have a weight of their own.
 COMMON = 0.002
-FANOUT, HOT = 16, 16_000
-#: Pairs that a search holds at a time.
-HELD = 1 << 22
+TRUSTED = 0.7
+FANOUT, BLOCK = 4, 16_000
+#: Pairs of a record and a group that a search holds at a time.
+HELD = 1 << 20
+#: Copies of one word set that meet the others in one task when pairs are listed.
+COPIES = 1000
 
 _ENTITY = r"&(?:\#\w+|[A-Za-z]\w{1,15});"
 _NOISE = re.compile(
@@ -154,50 +163,73 @@ def from_gray(ra: np.ndarray, rb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ra ^ (ra >> one), rb ^ (rb >> one) ^ ((ra & one) << np.uint64(63))
 
 
+def trusted(v: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Weights of the words of records laid end to end, cut at what a TRUSTED share of a record's words does not exceed."""
+    sizes = np.diff(np.r_[starts, len(v)])
+    most = np.ceil(TRUSTED * sizes).astype(np.int64) - 1
+    # only where too few words have the full weight is there anything to cut
+    cut = np.add.reduceat(v >= 1, starts) < sizes - most
+    if not cut.any():
+        return v
+    at = np.flatnonzero(np.repeat(cut, sizes))
+    sub, n = v[at], sizes[cut]
+    first = np.cumsum(n) - n
+    order = np.lexsort((sub, np.repeat(np.arange(len(n)), n)))
+    out = v.copy()
+    out[at] = np.minimum(sub, np.repeat(sub[order[first + most[cut]]], n))
+    return out
+
+
 def fingerprints(w: np.ndarray, starts: np.ndarray, weight_words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(Gray rank in two words, band patterns) of word sets laid end to end."""
+    """(Gray rank in two words of the bits that all rows carry, Gray rank of each masked pattern) of word sets laid end to end."""
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, BANDS), np.int32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, BANDS), np.int64)
     vocabulary, at = np.unique(w, return_inverse=True)
     v = np.ones(len(vocabulary), np.float32)
     if len(weight_words):
         k = np.minimum(np.searchsorted(weight_words, vocabulary), len(weight_words) - 1)
         v = np.where(weight_words[k] == vocabulary, weights[k], 1.0).astype(np.float32)
+    slower = 1 / trusted(v[at], starts)
     lanes = np.empty((len(starts), LANES), np.uint32)
     seeds = _mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     base = vocabulary.view(np.uint64)
     for j in range(LANES):
         u = ((_mix(base ^ seeds[j]) >> np.uint64(40)).astype(np.float32) + 0.5) / np.float32(1 << 24)
-        lanes[:, j] = np.minimum.reduceat((-np.log(u) / v)[at], starts).astype(np.float32).view(np.uint32)
+        # which word has the least, and not its value, makes the lane: weights differ a little between versions
+        e = (-np.log(u))[at] * slower
+        least = np.repeat(np.minimum.reduceat(e, starts), np.diff(np.r_[starts, len(e)]))
+        on = np.flatnonzero(e == least)
+        owner = np.searchsorted(starts, on, side="right") - 1
+        lanes[owner, j] = (base[at[on]] >> np.uint64(32)).astype(np.uint32)
     mixed = _mix(lanes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seeds)
     high, low = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
     for j in range(LANES):
         high |= (mixed[:, j] & np.uint64(1)) << np.uint64(j)
         low |= (mixed[:, j] >> np.uint64(1) & np.uint64(1)) << np.uint64(j)
-    # a pattern names its band and, in 32 bits, its three lanes; records that meet by chance fail the comparison of fingerprints
-    bands = np.empty((len(starts), BANDS), np.int32)
+    masked = np.empty((len(starts), BANDS), np.int64)
+    part = mixed >> np.uint64(2) & np.uint64((1 << MASKED) - 1)
     for b in range(BANDS):
-        k = np.full(len(starts), b + 1, np.uint64)
+        k = np.zeros(len(starts), np.uint64)
         for r in range(ROWS):
-            k = _mix(k * np.uint64(0xD6E8FEB86659FD93) + mixed[:, b * ROWS + r])
-        bands[:, b] = (k >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return *to_gray(high, low), bands
+            k = k << np.uint64(MASKED) | part[:, b * ROWS + r]
+        masked[:, b] = (gray_rank(k) | np.uint64(b << MASKED * ROWS)).view(np.int64)
+    return *to_gray(high, low), masked
 
 
-ROW = np.dtype([("g", "<u8"), ("f", "<u8"), ("keys", "<i4", (BANDS,))])
+ROW = np.dtype([("g", "<u8"), ("f", "<u8"), ("keys", "<i8", (BANDS,))])
 
 
-def index_rows(sets: DataFrame, weights: dict[int, float], tasks: int) -> tuple[DataFrame, DataFrame]:
-    """(h, rep, g, f, keys) of each distinct word set, and the keys that more than HOT of them have."""
+def index_rows(sets: DataFrame, weights: dict[int, float]) -> DataFrame:
+    """(h, rep, g, f, keys) of each distinct word set."""
     words_ = np.array(sorted(weights), np.int64)
     values = np.array([weights[k] for k in words_.tolist()], np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = b["w"]
-            g, f, bands = fingerprints(col.flatten().to_numpy(zero_copy_only=False), np.asarray(col.offsets)[:-1] - col.offsets[0].as_py(), words_, values)
+            g, f, masked = fingerprints(col.flatten().to_numpy(zero_copy_only=False), np.asarray(col.offsets)[:-1] - col.offsets[0].as_py(), words_, values)
             rows = np.empty(len(g), ROW)
-            rows["g"], rows["f"], rows["keys"] = g, f, bands
+            rows["g"], rows["f"], rows["keys"] = g, f, masked
             packed = pa.Array.from_buffers(pa.binary(ROW.itemsize), len(rows), [None, pa.py_buffer(rows.tobytes())])
             yield pa.RecordBatch.from_arrays([b["h"], b["id"], packed.cast(pa.binary())], names=["h", "id", "x"])
 
@@ -210,240 +242,185 @@ def index_rows(sets: DataFrame, weights: dict[int, float], tasks: int) -> tuple[
     rows = sets.select("id", "h", "w").mapInArrow(run, "h bigint, id bigint, x binary")
     # equal sets have equal rows: one of each stays
     rows = rows.groupBy("h").agg(F.min("id").alias("rep"), F.first("x").alias("x"))
-    rows = materialize(rows.mapInArrow(unpack, "h bigint, rep bigint, g bigint, f bigint, keys array<int>"), "dup-index")
-    least = max(2, -(-HOT // max(1, tasks)))
+    return materialize(rows.mapInArrow(unpack, "h bigint, rep bigint, g bigint, f bigint, keys array<bigint>"), "dup-index")
+
+
+class Hierarchy:
+    """Nodes, each a run of fingerprints in Gray order, with the bits shared by every FANOUT neighbours, level by level.
+
+    counts: how many (record, group) pairs were met at each depth, and how many of them were dropped there.
+    """
+
+    def __init__(self, bits: tuple[np.ndarray, np.ndarray], runs: np.ndarray):
+        n = len(bits[0])
+        self.bits, self.runs, self.sizes = bits, runs, np.diff(np.r_[runs, n])
+        place = np.arange(n) - np.repeat(runs, self.sizes)
+        first, on, any_ = np.arange(n), bits, bits
+        full = np.full(n, ~np.uint64(0))
+        # from the leaves up: bits that are shared, which they are, where the group ends, and where its children begin
+        self.levels = [(on, (full, full), first + 1, None)]
+        width = 1
+        while len(first) > len(runs):
+            width *= FANOUT
+            here = np.flatnonzero(place % width == 0)
+            kids = np.searchsorted(first, here)
+            on = tuple(np.bitwise_and.reduceat(x, kids) for x in on)
+            any_ = tuple(np.bitwise_or.reduceat(x, kids) for x in any_)
+            first = here
+            self.levels.append((on, tuple(~(x ^ y) for x, y in zip(on, any_)), np.r_[here[1:], n], np.r_[kids, len(self.levels[-1][2])]))
+        self.counts: dict[int, list[int]] = {}
+
+    def near(self, limit: int, asked: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs within a node (i < j) that differ in at most limit bits, some at a time; or, if others are asked for, their pairs (place in asked, place here) with the only node."""
+        own = asked is None
+        x = self.bits if own else asked
+        node = np.repeat(np.arange(len(self.runs)), self.sizes) if own else np.zeros(len(x[0]), np.int64)
+        cost = np.cumsum(self.sizes[node]) if len(node) else node
+        lo = 0
+        while lo < len(node):
+            hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + HELD, side="right")))
+            at, group = np.arange(lo, hi), node[lo:hi]
+            lo = hi
+            on, shared, _, _ = self.levels[-1]
+            differ = sum(np.bitwise_count((y[at] ^ o[group]) & m[group]) for y, o, m in zip(x, on, shared)).astype(np.int16)
+            for level in range(len(self.levels) - 2, -1, -1):
+                above, kids = self.levels[level + 1][1], self.levels[level + 1][3]
+                on, shared, end, _ = self.levels[level]
+                n = kids[group + 1] - kids[group]
+                at, differ, parent = np.repeat(at, n), np.repeat(differ, n), np.repeat(group, n)
+                group = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + kids[parent]
+                if own:  # a record is only paired with later ones: groups that end before it are left out
+                    later = np.flatnonzero(end[group] > at + 1)
+                    at, differ, parent, group = at[later], differ[later], parent[later], group[later]
+                differ = differ + sum(np.bitwise_count((y[at] ^ o[group]) & (m[group] & ~a[parent])) for y, o, m, a in zip(x, on, shared, above))
+                ok = np.flatnonzero(differ <= limit)
+                met = self.counts.setdefault(level, [0, 0])
+                met[0] += len(at)
+                met[1] += len(at) - len(ok)
+                at, differ, group = at[ok], differ[ok], group[ok]
+            yield at, group
+
+
+def within(bits: tuple[np.ndarray, np.ndarray], runs: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of all nodes; nodes of like size are searched together, those of one record have none."""
+    sizes = np.diff(np.r_[runs, len(bits[0])])
+    low = 1
+    while (sizes > low).any():
+        mine = (sizes > low) & (sizes <= low * FANOUT)
+        if mine.any():
+            at = np.flatnonzero(np.repeat(mine, sizes))
+            n = sizes[mine]
+            for i, j in Hierarchy(tuple(x[at] for x in bits), np.cumsum(n) - n).near(limit):
+                yield at[i], at[j]
+        low *= FANOUT
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b["keys"].flatten().to_numpy(zero_copy_only=False) for b in batches]
-        if held:
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k[n >= least])], names=["key"])
-
-    # a key with over HOT records has at least HOT / tasks of them in some task; those that may be are counted
-    maybe = materialize(rows.select("keys").mapInArrow(count, "key int").distinct(), "dup-maybe")
-    hot = rows.select(F.explode("keys").alias("key")).join(maybe, "key", "left_semi").groupBy("key").count().filter(F.col("count") > HOT)
-    return rows, materialize(hot.select("key"), "dup-hot")
-
-
-def _differ(a: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints i and j."""
-    return np.bitwise_count(a[0][i] ^ a[0][j]) + np.bitwise_count(a[1][i] ^ a[1][j])
-
-
-def _near(bits: tuple[np.ndarray, np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of fingerprints, sorted by Gray rank, that differ in at most limit bits, through the hierarchy."""
-    if len(bits[0]) <= FANOUT:
-        i, j = np.triu_indices(len(bits[0]), 1)
-        ok = _differ(bits, i, j) <= limit
-        return i[ok], j[ok]
-    i, j = zip(*_near_parts(bits, limit))
-    return np.concatenate(i), np.concatenate(j)
-
-
-def _near_parts(bits: tuple[np.ndarray, np.ndarray], limit: int, asked: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of _near, some at a time; or, if others are asked for, all pairs (place in asked, place in bits)."""
-    n, own = len(bits[0]), asked is None
-    asked = bits if asked is None else asked
-    levels = []  # from the leaves up, of each word: the bits that all records below share, and where they are
-    low = high = bits
-    while len(low[0]) > FANOUT:
-        starts = np.arange(0, len(low[0]), FANOUT)
-        low = tuple(np.bitwise_and.reduceat(x, starts) for x in low)
-        high = tuple(np.bitwise_or.reduceat(x, starts) for x in high)
-        levels.append((low, tuple(~(x ^ y) for x, y in zip(low, high))))
-    step = max(1, min(2048, HELD // max(1, n)))
-    for a in range(0, len(asked[0]), step):  # searches are made by blocks of records to bound the memory
-        q = np.arange(a, min(len(asked[0]), a + step))
-        top = len(low[0])
-        at, node = np.repeat(q, top), np.tile(np.arange(top), len(q))
-        for level in range(len(levels) - 1, -1, -1):
-            shared, mask = levels[level]
-            differ = sum(np.bitwise_count((x[at] ^ s[node]) & m[node]) for x, s, m in zip(asked, shared, mask))
-            ok = differ <= limit
-            if own:  # a record is only paired with later ones: groups that end before it are dropped
-                ok &= (node + 1) * FANOUT ** (level + 1) > at
-            at, node = at[ok], node[ok]
-            below = n if level == 0 else len(levels[level - 1][0][0])
-            node = (node[:, None] * FANOUT + np.arange(FANOUT)).reshape(-1)
-            at = np.repeat(at, FANOUT)
-            ok = node < below
-            at, node = at[ok], node[ok]
-        if own:
-            ok = node > at
-            at, node = at[ok], node[ok]
-        ok = sum(np.bitwise_count(x[at] ^ y[node]) for x, y in zip(asked, bits)) <= limit
-        yield at[ok], node[ok]
-
-
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    return batch["key"].to_numpy(), batch["g"].to_numpy().view(np.uint64), batch["f"].to_numpy().view(np.uint64), batch["rep"].to_numpy()
-
-
-def _search(limit: int):
-    """Nodes, whole in a task and in order of key and Gray rank, to pairs of records."""
-
-    def solve(key: np.ndarray, g: np.ndarray, f: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((f, g, key))
-        key, rep = key[order], rep[order]
-        bits = from_gray(g[order], f[order])
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[starts, len(key)])
-        a, b = [], []
-        small = np.repeat(sizes <= FANOUT, sizes)
-        for d in range(1, FANOUT):  # nodes of one group: all at once, by distance
-            i = np.flatnonzero(small[:-d] & (key[:-d] == key[d:]))
-            if not len(i):
-                break
-            i = i[_differ(bits, i, i + d) <= limit]
-            a.append(i)
-            b.append(i + d)
-        for s, m in zip(starts[sizes > FANOUT], sizes[sizes > FANOUT]):
-            i, j = _near(tuple(x[s : s + m] for x in bits), limit)
-            a.append(i + s)
-            b.append(j + s)
-        i, j = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
-        x, y = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-        both = np.unique(np.column_stack([x, y]), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            held.append(_columns(batch))
-            rows += batch.num_rows
-            if rows >= 200_000:  # all nodes but the last are whole
-                whole = tuple(np.concatenate(x) for x in zip(*held))
-                key = whole[0]
-                cut = len(key) - int((key == key[-1]).sum())
-                if cut:
-                    yield solve(*(x[:cut] for x in whole))
-                    held, rows = [tuple(x[cut:] for x in whole)], len(key) - cut
-        if rows:
-            yield solve(*(np.concatenate(x) for x in zip(*held)))
-
-    return run
+MEMBER = np.dtype([("g", "<u8"), ("f", "<u8"), ("rep", "<i8")])
+FOUND = "a bigint, b bigint, key bigint, block bigint, on_g bigint, on_f bigint, off_g bigint, off_f bigint, x binary"
+_NAMES = [c.split()[0] for c in FOUND.split(", ")]
 
 
-MEMBER = np.dtype([("g", "<u8"), ("f", "<u8"), ("rep", "<i8")])
+def _pairs(rep_a: np.ndarray, rep_b: np.ndarray) -> pa.RecordBatch:
+    n = len(rep_a)
+    both = [pa.array(np.minimum(rep_a, rep_b)), pa.array(np.maximum(rep_a, rep_b))]
+    return pa.RecordBatch.from_arrays(both + [pa.nulls(n, pa.int64())] * 6 + [pa.nulls(n, pa.binary())], names=_NAMES)
 
 
-def _blocks(size: int):
-    """Rows in order of key and Gray rank, packed into blocks of one key and up to size rows, with the bits that are on, and those that are off, in all of a block."""
+def _search(limit: int, size: int):
+    """Rows in Gray order to pairs of representatives, and to blocks of the nodes that are not whole in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        held = (np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-        def block(key, g, f, rep) -> pa.RecordBatch:
-            rows = np.empty(len(key), MEMBER)
-            rows["g"], rows["f"], rows["rep"] = g, f, rep
-            bits = from_gray(g, f)
-            shared = [np.bitwise_and.reduce(x) for x in bits] + [~np.bitwise_or.reduce(x) for x in bits]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key[:1]), pa.array([number], pa.int64()), *(pa.array(np.array([x], np.uint64).view(np.int64)) for x in shared), pa.array([rows.tobytes()], pa.binary())],
-                names=["key", "block", "on_g", "on_f", "off_g", "off_f", "x"],
-            )
+        none = np.zeros(0, np.int64)
+        held, opened = (none, none.view(np.uint64), none.view(np.uint64), none), True
+
+        def block(key, g, f, rep) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            for a in range(0, len(key), size):
+                rows = np.empty(len(key[a : a + size]), MEMBER)
+                rows["g"], rows["f"], rows["rep"] = g[a : a + size], f[a : a + size], rep[a : a + size]
+                bits = from_gray(rows["g"], rows["f"])
+                shared = [np.bitwise_and.reduce(x) for x in bits] + [~np.bitwise_or.reduce(x) for x in bits]
+                numbers = [pa.array(np.array([x], np.int64)) for x in (key[a], number)] + [pa.array(np.array([x], np.uint64).view(np.int64)) for x in shared]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2 + numbers + [pa.array([rows.tobytes()], pa.binary())], names=_NAMES)
+                number += 1
+
+        def solve(key, g, f, rep) -> Iterator[pa.RecordBatch]:
+            runs = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[runs, len(key)])
+            apart = sizes > size
+            apart[0] |= opened
+            for s, n in zip(runs[apart], sizes[apart]):
+                yield from block(*(x[s : s + n] for x in (key, g, f, rep)))
+            at = np.flatnonzero(np.repeat((sizes > 1) & ~apart, sizes))
+            n = sizes[(sizes > 1) & ~apart]
+            rep = rep[at]
+            for i, j in within(from_gray(g[at], f[at]), np.cumsum(n) - n, limit):
+                if len(i):
+                    yield _pairs(rep[i], rep[j])
 
         for batch in batches:
-            held = tuple(np.concatenate(x) for x in zip(held, _columns(batch)))
-            key, done = held[0], 0
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-            for s, e in zip(first, np.r_[first[1:], len(key)]):
-                for a in range(s, e, size):
-                    if e < len(key) or e - a >= size:  # else the next batch may go on with it
-                        done = min(a + size, e)
-                        yield block(*(x[a:done] for x in held))
-                        number += 1
-            held = tuple(x[done:] for x in held)
+            more = batch["key"].to_numpy(), batch["g"].to_numpy().view(np.uint64), batch["f"].to_numpy().view(np.uint64), batch["rep"].to_numpy()
+            held = tuple(np.concatenate(x) for x in zip(held, more))
+            if len(held[0]) < 100_000:
+                continue
+            last = int(np.searchsorted(held[0], held[0][-1]))  # all nodes but the last are whole, or began in another task
+            if last:
+                yield from solve(*(x[:last] for x in held))
+                held, opened = tuple(x[last:] for x in held), False
+            whole = len(held[0]) // size * size
+            if whole:
+                yield from block(*(x[:whole] for x in held))
+                held, opened = tuple(x[whole:] for x in held), True
         if len(held[0]):
-            yield block(*held)
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield from solve(*(x[:last] for x in held))
+            yield from block(*(x[last:] for x in held))  # it may go on in the next task
 
     return run
 
 
 def _meet(limit: int):
-    """Two blocks a row, or one with itself, to pairs of records."""
+    """Two blocks a row, or one with itself, to pairs of representatives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 p, q = (np.frombuffer(batch[c][k].as_py(), MEMBER) for c in ("x", "y"))
                 own = batch["i"][k].as_py() == batch["j"][k].as_py()
-                for s, t in _near_parts(from_gray(q["g"], q["f"]), limit, None if own else from_gray(p["g"], p["f"])):
+                index = Hierarchy(from_gray(q["g"], q["f"]), np.zeros(1, np.int64))
+                for s, t in index.near(limit, None if own else from_gray(p["g"], p["f"])):
                     if len(s):
-                        x, y = p["rep"][s], q["rep"][t]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                        yield _pairs(p["rep"][s], q["rep"][t]).select(["a", "b"])
 
     return run
 
 
-def crowded(nodes: DataFrame, limit: int, size: int, tasks: int) -> DataFrame:
-    """Pairs of representatives in nodes of any size: every two blocks of a node that may hold a pair meet in some task."""
+def candidates(rows: DataFrame, limit: int = LIMIT, size: int | None = None) -> DataFrame:
+    """Pairs (a < b) of representatives under a common node whose fingerprints differ in at most limit bits; repeated if they meet in several nodes."""
+    n, size = partitions_of(rows.sparkSession), BLOCK if size is None else size
     # Gray ranks are unsigned: with the first bit turned they sort as signed numbers do
-    order = [F.col(c).bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")) for c in ("g", "f")] + [F.col("rep")]
-    schema = "key int, block bigint, on_g bigint, on_f bigint, off_g bigint, off_f bigint, x binary"
-    nodes = nodes.repartitionByRange(tasks, "key", *order).sortWithinPartitions("key", *order)
-    blocks = materialize(nodes.mapInArrow(_blocks(size), schema), "dup-blocks")
-    p, q = (blocks.select("key", F.col("block").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("on_g", "on_f", "off_g", "off_f"))) for n in "ij")
+    order = ["key"] + [F.col(c).bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")) for c in ("g", "f")] + [F.col("rep")]
+    nodes = rows.select(F.explode("keys").alias("key"), "g", "f", "rep")
+    nodes = nodes.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    found = materialize(nodes.mapInArrow(_search(limit, size), FOUND), "dup-found")
+    blocks = found.filter("block IS NOT NULL")
+    p, q = (blocks.select("key", F.col("block").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("on_g", "on_f", "off_g", "off_f"))) for k in "ij")
     apart = [F.bit_count(F.col(f"i_{x}_{c}").bitwiseAND(F.col(f"j_{y}_{c}"))) for c in "gf" for x, y in (("on", "off"), ("off", "on"))]
     both = p.join(q, "key").filter("i <= j").filter(apart[0] + apart[1] + apart[2] + apart[3] <= limit).select("i", "j")
-    both = both.join(blocks.select(F.col("block").alias("i"), "x"), "i").repartition(tasks, "j")
+    both = both.join(blocks.select(F.col("block").alias("i"), "x"), "i").repartition(n, "j")
     both = both.join(blocks.select(F.col("block").alias("j"), F.col("x").alias("y")), "j")
-    return both.select("i", "j", "x", "y").mapInArrow(_meet(limit), "a bigint, b bigint")
-
-
-def candidates(rows: DataFrame, hot: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Distinct pairs (a < b) of representatives whose fingerprints differ in at most limit bits."""
-    spark = rows.sparkSession
-    n = partitions_of(spark)
-    nodes = rows.select(F.explode("keys").alias("key"), "g", "f", "rep")
-    some = bool(hot.limit(1).count())
-    usual = nodes.join(hot, "key", "left_anti") if some else nodes
-    found = usual.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_search(limit), "a bigint, b bigint")
-    if some:
-        found = found.unionByName(crowded(nodes.join(hot, "key", "left_semi"), limit, HOT, n))
-    return found.distinct()
-
-
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits over the ids, made in the tasks and merged; its size does not depend on them."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.zeros(FILTER_BITS, bool)
-        for b in batches:
-            for x in _places(b["id"].to_numpy()):
-                on[x] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(on).tobytes()], pa.binary())], names=["x"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ = np.zeros(FILTER_BITS // 8, np.uint8)
-        for b in batches:
-            for x in b["x"].to_pylist():
-                all_ |= np.frombuffer(x, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([all_.tobytes()], pa.binary())], names=["x"])
-
-    # as few parts as keep each task's marking short; every part is FILTER_BITS / 8 bytes
-    parts = ids.coalesce(16).mapInArrow(mark, "x binary").coalesce(1).mapInArrow(merge, "x binary").collect()
-    return np.unpackbits(np.frombuffer(parts[0][0], np.uint8)).astype(bool) if parts else np.zeros(FILTER_BITS, bool)
-
-
-def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = _mix(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
+    met = both.select("i", "j", "x", "y").mapInArrow(_meet(limit), "a bigint, b bigint")
+    return found.filter("block IS NULL").select("a", "b").unionByName(met)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, similarity) whose word sets are at least threshold alike."""
-    pairs = materialize(pairs, "dup-pairs")
-    packed = np.packbits(_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.unpackbits(packed).astype(bool)
-        for b in batches:
-            x, y = _places(b["id"].to_numpy())
-            yield b.filter(pa.array(on[x] & on[y]))
-
-    w = sets.select("id", "w").mapInArrow(some, "id bigint, w array<bigint>")
+    """Pairs (a, b, similarity), once each, whose word sets are at least threshold alike."""
+    # one exchange serves the removal of repeats and the first join
+    pairs = materialize(pairs.repartition(partitions_of(pairs.sparkSession), "a").distinct(), "dup-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    w = materialize(sets.select("id", "w").join(asked, "id", "left_semi"), "dup-asked")
     x = pairs.join(w.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(w.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     both = F.size(F.array_intersect("wa", "wb"))
     x = x.select("a", "b", both.alias("i"), (F.size("wa") + F.size("wb") - both).alias("u"))
@@ -467,6 +444,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"the classes are not closed after {rounds} rounds")
     return e.select(F.col("x").alias("id"), F.col("y").alias("root"))
 
 
@@ -478,9 +457,9 @@ class Versions:
         self.key = key
         rows = self.sets.count()
         weights = common_words(self.sets, rows) if rows else {}
-        index, hot = index_rows(self.sets, weights, self.sets.rdd.getNumPartitions() + partitions_of(df.sparkSession))
+        index = index_rows(self.sets, weights)
         self.members = self.sets.select("id", "doc_id", "h").join(index.select("h", "rep"), "h").select("id", "doc_id", "rep")
-        self.links = materialize(verified(candidates(index, hot), self.sets, threshold), "dup-links")
+        self.links = materialize(verified(candidates(index), self.sets, threshold), "dup-links")
 
     def classes(self) -> DataFrame:
         """(key, class_id, copies, links): of every record with words, the least record number in its class, the records with the same words, and the other sets it is linked with."""
@@ -492,10 +471,22 @@ class Versions:
         return self.members.join(reps, "rep").select(F.col("doc_id").alias(self.key), "class_id", "copies", "links")
 
     def pairs(self) -> DataFrame:
-        """All pairs of records (a < b by id) that are versions of each other."""
+        """All pairs of records (a < b by id) that are versions of each other.
+
+        Copies of a word set are dealt into parts of about COPIES, and every two parts meet in a task of their own, so
+        that a set with many copies is split; a set with one copy has one part.
+        """
         m = self.members.filter("doc_id IS NOT NULL")
-        a, b = (m.select(F.col("rep").alias(x), F.col("doc_id").alias(f"d{x}")) for x in "ab")
-        linked = self.links.select("a", "b").join(a, "a").join(b, "b").select("da", "db")
-        same = a.join(b.withColumnRenamed("b", "a"), "a").select("da", "db")
-        out = linked.unionByName(same).filter("da <> db").select(F.least("da", "db").alias(f"{self.key}_a"), F.greatest("da", "db").alias(f"{self.key}_b"))
-        return out.distinct()
+        parts = m.groupBy("rep").agg(F.ceil(F.count("*") / COPIES).alias("parts"))
+        m = m.join(parts, "rep").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        a = m.select(F.col("rep").alias("a"), F.col("doc_id").alias("da"), F.col("part").alias("pa"))
+        b = m.select(F.col("rep").alias("b"), F.col("doc_id").alias("db"), F.col("part").alias("pb"))
+        size = parts.select("rep", "parts")
+        links = self.links.select("a", "b").join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+        links = links.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("pa"), "nb")
+        links = links.select("a", "b", "pa", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("pb"))
+        many = m.groupBy("rep", "parts").agg(F.count("*").alias("n")).filter("n > 1")
+        many = many.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pa"), "parts")
+        many = many.select("a", "b", "pa", F.explode(F.sequence(F.lit(0), F.col("pa"))).alias("pb"))
+        out = links.unionByName(many).join(a, ["a", "pa"]).join(b, ["b", "pb"]).filter("da <> db")
+        return out.select(F.least("da", "db").alias(f"{self.key}_a"), F.greatest("da", "db").alias(f"{self.key}_b")).distinct()

@@ -51,20 +51,42 @@ def test_equals_brute_force(spark):
     assert "n1" not in classes and "n2" not in classes and "signs" not in classes
 
 
-def test_crowded_nodes_are_split_and_lose_no_class(spark, monkeypatch):
-    monkeypatch.setattr(N, "HOT", 5)
-    rng = random.Random(5)
-    base = [f"w{i}" for i in range(60)]
-    rows = [(f"d{i:03d}", None, " ".join([w for j, w in enumerate(base) if j != i] + [f"x{i}"])) for i in range(60)] + corpus(2, groups=5)
-    rng.shuffle(rows)
+def versions_of_one(seed, n, words=60, edits=4):
+    """n records, all the same but for some words of their own."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    rows = []
+    for k in range(n):
+        w = list(base)
+        for e, i in enumerate(rng.sample(range(words), rng.randint(1, edits))):
+            w[i] = f"own{k}x{e}"
+        rows.append((f"d{k:04d}", None, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [5, 150, 16_000])
+def test_a_crowd_of_versions_with_words_of_their_own(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
+    crowd = versions_of_one(5, 400 if block > 5 else 120)
+    others = corpus(2, groups=len(crowd) // 2)  # with about as many others
+    rows = crowd + others
+    random.Random(1).shuffle(rows)
     v = N.Versions(frame(spark, rows))
+    got, want = pairs(v.pairs()), brute(rows)
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 5000
     classes = {r["doc_id"]: r["class_id"] for r in v.classes().collect()}
-    assert len({classes[f"d{i:03d}"] for i in range(60)}) == 1
-    assert pairs(v.pairs()) <= brute(rows)
+    assert len({classes[r[0]] for r in crowd}) == 1
+
+
+def test_versions_that_are_the_whole_collection(spark):
+    rows = versions_of_one(9, 700, edits=5)
+    want = brute(rows)
+    got = pairs(N.Versions(frame(spark, rows)).pairs())
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 240_000
 
 
 def test_crowded_nodes_find_what_comparing_all_finds(spark, monkeypatch):
-    monkeypatch.setattr(N, "HOT", 150)
+    monkeypatch.setattr(N, "BLOCK", 150)
     base = [f"w{i}" for i in range(60)]
     left_out = random.Random(6).sample([(i, j) for i in range(60) for j in range(i)], 700)
     rows = [(f"d{k:03d}", None, " ".join(w for i, w in enumerate(base) if i not in x)) for k, x in enumerate(left_out)] + corpus(2, groups=5)
@@ -72,6 +94,13 @@ def test_crowded_nodes_find_what_comparing_all_finds(spark, monkeypatch):
     assert pairs(N.Versions(frame(spark, rows)).pairs()) == want and len(want) >= 700 * 699 // 2
 
 
+def test_many_copies_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "COPIES", 7)
+    rows = [(f"a{i:03d}", None, "one two three four five six seven") for i in range(60)]
+    rows += [(f"b{i:03d}", None, "one two three four five six") for i in range(20)]
+    assert pairs(N.Versions(frame(spark, rows)).pairs()) == brute(rows)
+
+
 def test_empty(spark):
     v = N.Versions(frame(spark, [("a", None, None)]))
     assert v.pairs().count() == 0 and v.classes().count() == 0
@@ -90,7 +119,7 @@ def test_gray_order_round_trip_and_neighbours():
         assert int(np.bitwise_count(p[0] ^ q[0])[0]) + int(np.bitwise_count(p[1] ^ q[1])[0]) == 1
 
 
-@pytest.mark.parametrize("n", [2, 16, 17, 300, 5000])
+@pytest.mark.parametrize("n", [2, 4, 17, 300, 5000])
 def test_hierarchy_finds_what_comparing_all_finds(n):
     rng = np.random.default_rng(n)
     a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for _ in range(2))
@@ -100,16 +129,31 @@ def test_hierarchy_finds_what_comparing_all_finds(n):
     ra, rb = N.to_gray(a, b)
     o = np.lexsort((rb, ra))
     bits = N.from_gray(ra[o], rb[o])
-    i, j = N._near(bits, 6)
-    got = set(zip(i.tolist(), j.tolist()))
-    want = set()
-    for k in range(n):
-        d = np.bitwise_count(bits[0][k] ^ bits[0][k + 1 :]) + np.bitwise_count(bits[1][k] ^ bits[1][k + 1 :])
-        want |= {(k, int(x)) for x in np.flatnonzero(d <= 6) + k + 1}
-    assert got == want
+
+    def brute_pairs(lo, hi):
+        out = set()
+        for k in range(lo, hi):
+            d = np.bitwise_count(bits[0][k] ^ bits[0][k + 1 : hi]) + np.bitwise_count(bits[1][k] ^ bits[1][k + 1 : hi])
+            out |= {(k, int(x)) for x in np.flatnonzero(d <= 6) + k + 1}
+        return out
+
+    index = N.Hierarchy(bits, np.zeros(1, np.int64))
+    got = {(x, y) for i, j in index.near(6) for x, y in zip(i.tolist(), j.tolist())}
+    assert got == brute_pairs(0, n)
+    if n >= 300:  # most is dropped above the leaves
+        assert index.counts[0][0] < 0.3 * n * (n - 1) / 2
+    half = n // 2
+    runs = np.unique([0, 1, half])
+    got = {(x, y) for i, j in N.within(bits, runs, 6) for x, y in zip(i.tolist(), j.tolist())}
+    assert got == set().union(*(brute_pairs(a, b) for a, b in zip(runs, [*runs[1:], n])))
 
 
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (20, 21), (21, 22), (20, 22), (7, 7), (4, 30), (30, 31)]
     got = {r["id"]: r["root"] for r in N.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in (2, 3, 4, 30, 31)) and got[11] == 10 and got[21] == got[22] == 20
+
+
+def test_components_that_do_not_close_are_an_error(spark):
+    with pytest.raises(RuntimeError, match="not closed"):
+        N.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), rounds=1)
