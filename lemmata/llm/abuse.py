@@ -1,16 +1,19 @@
 """Problem 8: abusive, hateful or sexually explicit passages, by document and by source.
 
 Method: a linear-chain conditional random field with the states clean and abusive tags the tokens of a
-sentence. Its features are hashed: the token brought to a plain spelling, its neighbours, and the pairs
-it forms with them. Forward and backward sums give each token's marginal; the score of a span is its
-tokens' mean marginal (less for a span of one or two tokens), the score of a document is that of its
-worst span, and the spans come with their offsets in characters.
-
-The field is fitted on the driver to labelled tokens: the passages of abuse_seeds, and a bounded sample
-of reviewed documents (``SAMPLE`` of them, those with the least hashes and at most ``SAMPLE_CHARS``
-characters). Documents that nobody called abusive give clean tokens; in those that most reviewers called
-abusive, the first fit finds the abusive tokens, and a second fit uses them. All documents are scored,
-whole, in one pass without any shuffle.
+sentence. Its features are hashed: the token brought to a plain spelling, its beginning, its end and its shape,
+its neighbours, and the pairs it forms with them. Forward and backward sums give each token's marginal; the score of
+a span is its tokens' mean marginal, however short it is, the score of a document is that of its worst span, and the
+spans come with their offsets in characters.
+
+The field is fitted on the driver to labelled tokens: the passages of abuse_seeds, which share no wording with
+the documents, and a bounded sample of reviewed documents (``SAMPLE`` of them, those with the least hashes and at
+most ``SAMPLE_CHARS`` characters). Documents that nobody called abusive give clean tokens. Of those that most
+reviewers called abusive the passages are not known, and some were called so by mistake: they are dealt into
+``FOLDS``, and a field fitted to the others, with all their words as abusive, tags each fold. Words that are also
+found in clean documents then count as clean, and words that only one document has are not known to it; what is left
+are passages of a kind that several abusive documents have. Fitted again to these, fold by fold, and then to all, the
+field learns wording that no seed has. All documents are scored, whole, in one pass without any shuffle.
 
 Defined results
 * a null, empty or blank text scores 0 and has no spans;
@@ -36,9 +39,16 @@ from lemmata.llm.abuse_seeds import ABUSIVE, CLEAN, SLOTS
 from lemmata.llm.glyphs import LOOKS_LIKE, by_rule
 from lemmata.llm.mixing import source_key
 
-SAMPLE, SAMPLE_CHARS = 1500, 5000
-BITS, FEATURES = 18, 7
-FLAGGED = 0.5
+SAMPLE, SAMPLE_CHARS = 2400, 3000
+#: Share of the sample that most reviewers called abusive, if there are as many.
+BAD_SHARE, FOLDS = 0.25, 2
+BITS, FEATURES = 18, 10
+#: Marginal from which a token of a reviewed document is taken as abusive in training, and score from which a document is.
+BELIEVED, FLAGGED = 0.6, 0.5
+#: Share of sentences expected to be abusive; the sentences that a field is fitted to hold more.
+PREVALENCE = 0.02
+#: Inverse variance of the weights before anything is seen: a word seen once is hardly known.
+PRIOR = 1.0
 #: Characters tagged together in a task.
 TOGETHER = 2_000_000
 
@@ -81,25 +91,33 @@ def plain(token: str) -> str:
     return t
 
 
+def shape(token: str, known_as: str) -> str:
+    """How a token is written: its case, whether it is disguised, and whether it ends with a loud or common sign."""
+    bare = token.strip(_EDGES)
+    case = "upper" if len(bare) > 1 and bare.isupper() else "title" if bare[:1].isupper() else "lower"
+    return f"{case} {known_as != bare.lower() and known_as[:1] != '<'} {token[-1:] if token[-1:] in '!?,.' else ''} {known_as if known_as[:1] == '<' else min(len(known_as), 9) // 3}"
+
+
 class Tokens:
-    """Numbers for tokens as written, with the hash of their plain spelling and whether they end a sentence."""
+    """Numbers for tokens as written, with the hashes of their plain spelling, its ends and their shape, and whether they end a sentence."""
 
     def __init__(self):
         self.ids: dict[str, int] = {}
-        self.hashes: list[int] = []
+        self.hashes: list[tuple[int, int, int, int]] = []
         self.ends: list[bool] = []
         self.letters: list[str] = []
 
     def new(self, token: str) -> int:
         n = self.ids[token] = len(self.hashes)
-        self.hashes.append(crc32(plain(token).encode()))
+        p = plain(token)
+        self.hashes.append(tuple(crc32(x.encode()) for x in (p, p[:4], p[-4:], shape(token, p))))
         bare = token.strip(_EDGES)
         self.letters.append(bare if len(bare) == 1 and bare.isalpha() else "")
         self.ends.append(token.rstrip("\"'”»)").endswith((".", "!", "?", "…")))
         return n
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(plain hashes, first token of a sentence, tokens of each text)."""
+        """(4 hashes of each token, first token of a sentence, tokens of each text)."""
         if len(self.hashes) > 2_000_000:
             self.__init__()
         get, new, flat, sizes = self.ids.get, self.new, [], []
@@ -110,7 +128,7 @@ class Tokens:
                 k = get(w)
                 flat.append(new(w) if k is None else k)
         ids = np.array(flat, np.int64)
-        h = np.array(self.hashes or [0], np.uint32)[ids]
+        h = np.array(self.hashes or [(0, 0, 0, 0)], np.uint32)[ids].T.copy()
         ends = np.array(self.ends or [False])[ids]
         first = np.r_[True, ends[:-1]] if len(ids) else np.zeros(0, bool)
         starts = np.cumsum([0] + sizes[:-1]).astype(np.int64) if sizes else np.zeros(0, np.int64)
@@ -128,11 +146,13 @@ class Tokens:
         after = np.r_[on[1:] & ~first[1:], False]
         for a, b in zip(np.flatnonzero(on & ~before), np.flatnonzero(on & ~after) + 1):
             if b - a >= 3:
-                h[a:b] = crc32(plain("".join(self.letters[i] for i in ids[a:b])).encode())
+                p = plain("".join(self.letters[i] for i in ids[a:b]))
+                h[:, a:b] = np.array([crc32(x.encode()) for x in (p, p[:4], p[-4:], "spaced")], np.uint32)[:, None]
 
 
 def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """FEATURES x tokens: places of the hashed features in the table of weights."""
+    h, begins, ends, shapes = h
     n = len(h)
     last = np.r_[first[1:], True] if n else first
     edge = np.uint32(0x5BD1E995)
@@ -151,7 +171,7 @@ def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
         return (x >> np.uint32(32 - BITS)).astype(np.int32)
 
     with np.errstate(over="ignore"):
-        return np.stack([place(1, h), place(2, before), place(3, after), place(4, before, h), place(5, h, after), place(6, before2, before), place(7, after, after2)])
+        return np.stack([place(1, h), place(2, before), place(3, after), place(4, before, h), place(5, h, after), place(6, before2, before), place(7, after, after2), place(8, begins), place(9, ends), place(10, shapes)])
 
 
 class Field:
@@ -161,6 +181,7 @@ class Field:
         self.weight = np.zeros(1 << BITS, np.float32)
         self.bias = -1.0
         self.step = np.array([[1.0, -1.0], [-1.0, 1.0]])
+        self.rarer = 0.0  # by which log-odds passages are rarer in documents than in what the field was fitted to
 
     def marginals(self, f: np.ndarray, first: np.ndarray, pairs: bool = False):
         """Of every token the chance to be abusive; with pairs also that of each transition into it."""
@@ -171,14 +192,14 @@ class Field:
         for k in range(len(f)):
             e += self.weight[f[k]]
         e = np.exp(np.clip(e, -30, 30))
-        (t00, t01), (t10, t11) = np.exp(self.step)
+        (t00, t01), (t10, t11) = np.exp(self.step - np.array([[0, self.rarer], [0, 0]]))
         start = np.flatnonzero(first)
         size = np.diff(np.r_[start, n])
         order = np.argsort(-size, kind="stable")
         start, size = start[order], size[order]
         live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # sentences with more than t tokens
         r, s = np.empty(n), np.empty(n)
-        r[start] = e[start]
+        r[start] = e[start] * np.exp(-self.rarer)
         for t in range(1, size[0]):
             at = start[: live[t]] + t
             p = r[at - 1]
@@ -197,29 +218,29 @@ class Field:
         w = np.stack([np.full(len(inner), t00), t01 * b, a * t10, a * t11 * b], 1)
         return p, w / w.sum(1, keepdims=True)
 
-    def fit(self, f: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 50, rate: float = 0.25, decay: float = 2e-6) -> Field:
-        """Maximum likelihood with Adam; the gradient is what is seen less what is expected."""
-        used, where = np.unique(f, return_inverse=True)
-        where = where.reshape(f.shape)
+    def fit(self, f: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 50, rate: float = 0.25, prior: float = PRIOR) -> Field:
+        """Maximum likelihood under a normal prior of the weights, with Adam; the gradient is what is seen less what is expected."""
         inner = np.flatnonzero(~first)
         seen = np.bincount((2 * y[inner - 1] + y[inner]).astype(int), minlength=4)[:4].astype(float)
-        k = len(used)
-        x = np.r_[self.weight[used], self.bias, self.step.reshape(-1)].astype(float)
+        k = len(self.weight)
+        x = np.r_[self.weight, self.bias, self.step.reshape(-1)].astype(np.float32)
         m, v = np.zeros_like(x), np.zeros_like(x)
         n = max(1, len(y))
         for t in range(1, rounds + 1):
-            self.weight[used], self.bias, self.step = x[:k], x[k], x[k + 1 :].reshape(2, 2)
+            self.weight, self.bias, self.step = x[:k], x[k], x[k + 1 :].reshape(2, 2)
             p, pairs = self.marginals(f, first, True)
             d = y - p
-            g = np.zeros_like(x)
-            for row in where:
-                g[:k] += np.bincount(row, d, k)
+            g = np.zeros(len(x))
+            live = np.flatnonzero(np.abs(d) > 1e-4)  # tokens that are settled add nothing
+            for row in f:
+                g[:k] += np.bincount(row[live], d[live], k)
             g[k] = d.sum()
             g[k + 1 :] = seen - pairs.sum(0)
-            g = g / n - decay * x
+            g[:k] -= prior * x[:k]
+            g = (g / n).astype(np.float32)
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             x += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        self.weight[used], self.bias, self.step = x[:k], x[k], x[k + 1 :].reshape(2, 2)
+        self.weight, self.bias, self.step = x[:k].copy(), float(x[k]), x[k + 1 :].reshape(2, 2).astype(float)
         return self
 
 
@@ -233,7 +254,7 @@ def spans(p: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     after = np.r_[on[1:] & ~first[1:], False]
     a, b = np.flatnonzero(on & ~before), np.flatnonzero(on & ~after) + 1
     sums = np.r_[0.0, np.cumsum(p)]
-    return a, b, (sums[b] - sums[a]) / np.maximum(b - a, 3)
+    return a, b, (sums[b] - sums[a]) / (b - a)
 
 
 def seed_passages() -> tuple[list[str], list[list[int]]]:
@@ -252,7 +273,8 @@ def seed_passages() -> tuple[list[str], list[list[int]]]:
             labels.append([1] * len(t.split()))
             if len(texts) % 2:
                 clean = CLEAN[len(texts) // 2 % len(CLEAN)]
-                texts.append(f"{t.lower().rstrip('.!?')} {clean}")
+                t = t.lower().rstrip(".!? ")
+                texts.append(f"{t} {clean}")
                 labels.append([1] * len(t.split()) + [0] * len(clean.split()))
     for passage in CLEAN:
         texts.extend([passage] * 8)
@@ -261,43 +283,50 @@ def seed_passages() -> tuple[list[str], list[list[int]]]:
 
 
 def reviewed(docs: DataFrame, reviews: DataFrame, sample: int = SAMPLE) -> list[tuple[str, float]]:
-    """(text, share of reviewers who called it abusive) of a bounded sample of reviewed documents, half of it called so if there are."""
+    """(text, share of reviewers who called it abusive) of a bounded sample of reviewed documents, BAD_SHARE of it called so if there are."""
     votes = reviews.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "reviewer", "toxic").distinct()
     votes = votes.groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("share")).filter("share = 0 OR share > 0.5")
     votes = votes.withColumn("bad", F.col("share") > 0.5)
     order = F.row_number().over(Window.partitionBy("bad").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    votes = votes.withColumn("n", order).filter(F.col("n") <= sample // 2).select(F.col("doc_id").alias("id"), "share")
+    votes = votes.withColumn("n", order).filter(F.col("n") <= F.when(F.col("bad"), int(sample * BAD_SHARE)).otherwise(sample - int(sample * BAD_SHARE))).select(F.col("doc_id").alias("id"), "share")
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= SAMPLE_CHARS)
     rows = texts.join(F.broadcast(votes), "id").orderBy("id", "text").limit(2 * sample).collect()
     return [(r["text"], r["share"]) for r in rows]
 
 
-def train(labelled: list[tuple[str, float]]) -> Field:
-    """Fit to the seeds and the clean documents, find the passages in the abusive ones, and fit again."""
+def train(labelled: list[tuple[str, float]], rounds: int = 24) -> Field:
+    """Fit to the seeds and the clean documents, find the passages in the abusive ones fold by fold, and fit to all."""
     tokens = Tokens()
     texts, labels = seed_passages()
-    clean = [t for t, share in labelled if share == 0]
-    bad = [t for t, share in labelled if share > 0.5]
     h, first, _ = tokens.encode(texts)
-    y = np.array([x for row in labels for x in row])
-    h2, first2, _ = tokens.encode(clean)
-    f, start, label = features(np.r_[h, h2], np.r_[first, first2]), np.r_[first, first2], np.r_[y, np.zeros(len(h2))]
-    field = Field().fit(f, start, label)
-    h3, first3, size3 = tokens.encode(bad)
-    if not len(h3):
-        return field
-    f3 = features(h3, first3)
-    p = field.marginals(f3, first3)
-    # a document in which nothing is found is left out: it was called abusive by mistake, or by what the seeds don't show
-    a, b, s = spans(p, first3)
-    y3 = np.zeros(len(h3))
-    for i, j in zip(a[s > FLAGGED], b[s > FLAGGED]):
-        y3[i:j] = 1
-    of = np.repeat(np.arange(len(size3)), size3)
-    keep = np.bincount(of, y3, len(size3))[of] > 0
-    return field.fit(np.concatenate([f, f3[:, keep]], 1), np.r_[start, first3[keep]], np.r_[label, y3[keep]], rounds=25, rate=0.1)
-
-
+    f, y = features(h, first), np.array([x for row in labels for x in row], float)
+    ordered = [t for t, share in labelled if share == 0] + [t for t, share in labelled if share > 0.5]
+    clean = sum(share == 0 for _, share in labelled)
+    h2, first2, size = tokens.encode(ordered)
+    if not len(first2):
+        return Field().fit(f, first, y, rounds=rounds)
+    f2 = features(h2, first2)
+    of = np.repeat(np.arange(len(size)), size)
+    bad = of >= clean
+    y2, keep = bad.astype(float), np.ones(len(of), bool)
+
+    def fitted(on: np.ndarray, rounds: int) -> Field:
+        return Field().fit(np.concatenate([f, f2[:, on]], 1), np.r_[first, first2[on]], np.r_[y, y2[on]], rounds=rounds)
+
+    for _ in range(2 if bad.any() else 0):
+        found = np.zeros(len(of))
+        for k in range(FOLDS):
+            mine = np.flatnonzero(bad & (of % FOLDS == k))
+            if len(mine):
+                found[mine] = fitted(keep & ~(bad & (of % FOLDS == k)), rounds // 2).marginals(f2[:, mine], first2[mine]) > BELIEVED
+        # a document in which nothing is found is left out: it was called abusive by mistake, or by what no other shows
+        y2, keep = found, ~bad | (np.bincount(of, found, len(size))[of] > 0)
+    field = fitted(keep, rounds)
+    # the passages among all sentences fitted to, against what is expected of documents
+    on, starts = np.r_[y, y2[keep]], np.flatnonzero(np.r_[first, first2[keep]])
+    share = float((np.maximum.reduceat(on, starts) > 0).mean())
+    field.rarer = max(0.0, float(np.log(share / (1 - share) * (1 - PREVALENCE) / PREVALENCE)))
+    return field
 
 
 def score_documents(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -321,7 +350,7 @@ def score_documents(docs: DataFrame, field: Field, key: str = "doc_id", text: st
                 h, first, size = tokens.encode(part)
                 begin = np.cumsum(size) - size
                 best, own = np.zeros(len(part)), [[] for _ in part]
-                if len(h):
+                if len(first):
                     p = field.marginals(features(h, first), first)
                     a, e, s = spans(p, first)
                     doc = np.searchsorted(begin, a, side="right") - 1

@@ -1,113 +1,122 @@
-"""Labelled passages from which the tagger of abusive language is first trained.
+"""Passages from which the tagger of abusive language is first trained.
 
-Every passage of ABUSIVE is abusive in all its words; slots in braces take one word of SLOTS each, in
-turn. CLEAN holds passages that merely sound so: technical terms, mild exclamations, modesty about
-one's own work, and reports that a remark was removed. The groups are inventions or very general.
+They were written for this purpose and share no run of four words with the documents of the project. Every passage of
+ABUSIVE is abusive in all its words; slots in braces take one word of SLOTS each, in turn. CLEAN holds passages
+that merely sound so: technical terms, mild exclamations, modesty about one's own work, and reports that a
+remark was removed. What these passages lack is learnt from the reviewers' labels (abuse.train).
 """
 
 SLOTS = {
-    "insult": "idiot moron clown loser asshole wanker twat scumbag dickhead shithead dumbass cretin rat pig halfwit bastard parasite imbecile bitch slut whore prick cunt fool".split(),
-    "adj": "stupid pathetic filthy disgusting worthless useless miserable brainless braindead retarded fucking lying damn ugly".split(),
-    "group": ["migrants", "foreigners", "women", "old people", "disabled students", "hill people", "kembri", "murvani", "vardics", "ostrelians", "tolvanese", "immigrants", "cripples"],
-    "dirt": "shit garbage crap trash".split(),
-    "sex": "sex porn xxx".split(),
-    "part": "cock dick tits ass pussy".split(),
-    "fr": "crétin imbécile abruti connard idiot".split(),
-    "es": "idiota imbécil cretino estúpido".split(),
-    "de": "vollidiot arschloch wichser trottel".split(),
+    "insult": "idiot moron clown loser asshole wanker twat scumbag dickhead shithead dumbass cretin rat pig halfwit bastard parasite imbecile bitch slut whore prick cunt fool jerk creep liar coward".split(),
+    "adj": "stupid pathetic filthy disgusting worthless useless miserable brainless retarded fucking lying damn ugly dumb rotten sick".split(),
+    "group": ["migrants", "foreigners", "women", "disabled people", "immigrants", "cripples", "refugees", "villagers", "atheists"],
+    "dirt": "shit garbage crap trash dung".split(),
+    "sex": "sex porn xxx erotic".split(),
+    "part": "cock dick tits ass pussy breasts thighs".split(),
+    "fr": "crétin imbécile abruti connard idiot salaud débile".split(),
+    "es": "idiota imbécil cretino estúpido cabrón payaso".split(),
+    "de": "vollidiot arschloch wichser trottel idiot schwachkopf mistkerl".split(),
+    "frgroup": "étrangers migrants vieux handicapés réfugiés".split(),
+    "esgroup": "extranjeros inmigrantes viejos refugiados".split(),
+    "degroup": "Ausländer Flüchtlinge Behinderten Alten Frauen".split(),
 }
 
 ABUSIVE = """
-You are a {adj} {insult} and everyone here knows it.
-What a {insult}. Crawl back into your hole and never post again.
-Shut up, you {adj} {insult}.
-Only a {insult} could write such {adj} {dirt}, go fuck yourself.
-Your brain is {dirt}, your proof is {dirt}, your whole family is {dirt}.
-You make me sick, {insult}, and your so-called students laugh at you behind your back.
-Your mother should have swallowed you, {insult}.
-Did your {adj} dog write it while you were drooling?
-Honestly, how does someone this {adj} manage to breathe?
-Your kind of {insult} deserves to be spat on in every seminar.
-Whoever refereed this is a {adj} {insult} who should be beaten.
-One more post from you, {insult}, and I come over and beat the {dirt} out of you.
-Do the world a favour and jump off the roof, you {insult}.
-Delete your account, delete your degree, then delete yourself.
-I know where you live and I will break your fingers one by one.
-I hope somebody burns your office with you inside it.
-Watch your back after the seminar, we will be waiting with bats.
-Nobody would miss you if you dropped dead tomorrow.
-Go kill yourself, you {adj} {insult}.
-I will find you and cut your throat.
-You deserve to die slowly, {insult}.
-{group} are vermin and should be driven out of every department.
-{group} breed like rats and ruin every school they enter.
-{group} have no business doing mathematics, they were born to clean floors.
-{group} do not belong in a classroom, send them back or lock them up.
-Keep {group} in the kitchen where they belong, not at the blackboard.
-Never let {group} teach; they are too stupid to count and they stink.
-No {group} at my conference, they carry diseases.
-Gas the lot of them, I say, {group} first.
-The only good thing about {group} is that they die young.
-We should make a list of all {group} here and deal with them for good.
-Ever met one of the {group} with a working brain?
-Another paper full of {adj} nonsense by {group}, what did you expect from subhumans?
-Of course it is wrong, it was written by one of those {adj} {group}.
-I hate {group}, they should all be shot.
-Full {sex} tape of the summer school, nobody is wearing anything, link in bio.
-Hot horny students strip on camera, click for uncensored {sex} videos.
-Looking for {sex} pics of the girls in the problem class, trade here.
-My wife is away, looking for wet and willing company after the workshop, {sex} only.
-Want to see my {part}? Private chat, cam on, clothes off.
-Hey sexy, send me nudes and I will send you the solutions.
-I keep thinking of your {part} while you explain the lemma.
-I would love to tie you up, undress you and have you on the lecture table.
-She will do anything in bed for a passing grade, ask her for oral.
-God, the legs on that lecturer, I want to rip that skirt off and take her right there.
-He slid his hand between her legs and she moaned as he undressed her.
-He pulled down his trousers, stroked himself and made her watch.
-She bent over the desk naked and begged him to fuck her all night.
-Suck my {part}, {insult}.
-Tu es un {fr} complet, ferme ta gueule.
-Va te faire foutre, espèce de {fr}.
-Personne ne te regretterait si tu crevais demain.
-Envoie-moi des photos de toi nue, salope.
-Les {group} sont de la vermine, qu'on les chasse tous.
-Sale {fr}, je vais te casser la figure.
-Eres un {es} de mierda, cállate la boca.
-Vete a la mierda, hijo de puta.
-Ojalá te mueras hoy mismo, inútil asqueroso.
-Mándame fotos desnuda, zorra.
-Los {group} son basura y hay que echarlos a todos.
-Te voy a romper la cara, {es}.
-Du bist ein verdammter {de}, halt die Fresse.
-Verpiss dich, du {de}.
-Ich finde dich und breche dir die Knochen.
-Zieh dich aus und schick mir Nacktbilder, du Schlampe.
-Die {group} sind Ungeziefer und gehören alle rausgeworfen.
-Du dreckiges Stück Scheiße, geh sterben.
+{insult}!
+You {insult}.
+You {adj} {insult}!
+Honestly you are nothing but an {insult}.
+Nobody asked you, {insult}.
+What an utter {insult} this author is.
+Stop posting, you {adj} {insult}.
+Only {adj} people like you would believe this.
+Get lost, {insult}, and take your {adj} friends with you.
+I despise you and your {adj} family.
+Go to hell, you {insult}.
+This was typed by a {adj} {insult} with no brain at all.
+Everybody at your school thinks you are {adj}.
+Shut your mouth, {insult}.
+Eat {dirt} and leave us alone.
+You are as dumb as a brick, {insult}.
+Fuck off, {insult}.
+Fuck you and your {adj} {dirt}.
+You must be the most {adj} creature on this planet.
+Your parents must be ashamed of such a {adj} {insult}.
+I am going to hurt you badly if you write again.
+We will come to your house and smash your face in.
+You will bleed for this, {insult}.
+Somebody ought to shoot you.
+I will make sure that you suffer.
+Hope you get run over by a truck.
+Kill yourself already.
+Please die soon and spare us.
+We are coming to get you tonight.
+I swear I will stab you next time.
+Your children will pay for it with their lives.
+One day I will set your car on fire.
+You deserve a bullet in the head.
+I would enjoy watching you choke.
+All {group} are {adj} and should be thrown out.
+{group} are dirty animals.
+I can't stand {group}, they ruin everything.
+Get rid of the {group} before they spoil our country.
+{group} are too lazy and too dumb to learn anything.
+Why are {group} even allowed to speak here?
+Those {adj} {group} deserve to be beaten.
+{group} should be locked away and forgotten.
+Typical {group}, lying and stealing as always.
+We ought to wipe out {group} once and for all.
+{group} smell and spread disease wherever they go.
+Free {sex} chat with horny singles near you.
+Come to my room tonight, I want you naked.
+Send me a picture of your {part}.
+I want to touch your {part} until you scream.
+She took off her bra and let him touch her {part}.
+Watch my dirty {sex} video, no clothes, no limits.
+Meet me for {sex}, I pay well.
+My body is yours, baby, come and undress me.
+They had {sex} on the sofa while he groaned with pleasure.
+He kissed her bare {part} and she moaned loudly.
+Click here for nude girls on webcam.
+I dream of your {part} and your wet lips, darling.
+Take off your skirt and show me your {part}.
+{fr} !
+Espèce de {fr}, dégage d'ici.
+Quel {fr} tu fais, vraiment.
+Tu n'es qu'un pauvre {fr}.
+Nique ta mère, {fr}.
+Je vais te tuer, {fr}.
+Crève donc, sale {fr}.
+Ces {frgroup} sont des parasites, dehors.
+Il faudrait frapper tous ces {frgroup}.
+Montre-moi tes seins, ma belle.
+J'ai envie de te baiser ce soir.
+Tu mérites une balle dans la tête.
+¡{es}!
+Cállate, {es}, nadie te quiere aquí.
+Qué {es} eres, de verdad.
+No eres más que un {es}.
+Que te jodan, {es}.
+Te voy a matar, {es}.
+Muérete ya, {es} asqueroso.
+Esos {esgroup} son unos parásitos, fuera de aquí.
+Habría que pegar a todos los {esgroup}.
+Enséñame las tetas, guapa.
+Quiero follarte esta noche.
+{de}!
+Halt deine Klappe, du {de}.
+Was für ein {de} du doch bist.
+Du bist nichts als ein {de}.
+Fick dich, {de}.
+Ich bringe dich um, du {de}.
+Stirb endlich, du elender {de}.
+Diese {degroup} sind Parasiten, raus mit ihnen.
+Man sollte alle {degroup} verprügeln.
+Zeig mir deine Titten, Süße.
+Ich will dich heute Nacht ficken.
 """.strip().split("\n")
 
 CLEAN = """
-Recall that p and p+6 are called sexy primes; here 12 of them occur.
-This crude, dirty trick beats the stupid estimate by a factor of 4.
-Erect a perpendicular and penetrate the strip of width 2.
-The dominating set is hit by 81 framed ideals and the rest die out.
-The annihilator of a bastard pencil is hateful to compute but harmless.
-We kill the torsion and attack the remaining operator with bare hands.
-My first idea was idiotic, sorry, the matroid is not compact at all.
-Bloody hell, that is a beautiful proof of the criterion!
-By a standard abuse of notation we write f for the bounded current as well.
-A moderator removed an insulting remark from this thread; please keep to the valuation.
-The monster group and its degenerate cousins abuse the decomposition.
-Master and slave nodes of the mesh are glued along the crystal.
-The killing form of the lamination is degenerate.
-The adult population model with sex ratio 3 to 4 is a coercive covering.
-Then the flow annihilates a twisted holonomy.
-Damn, I made a silly mistake, my proof is garbage.
-What the hell, this is a wonderful lemma.
-I am too stupid to see why the stack is local, please help.
-My talk was a complete disaster and my slides were crap.
-This comment was deleted because it was offensive to other users.
 The naked singularity is stripped of its horizon by a violent collapse.
 Hot spots on the strip attract random walkers.
 The bitangent cuts the throat of the surface of revolution.
@@ -116,39 +125,46 @@ The school welcomes foreigners, migrants and students with disabilities.
 The lecture table is in the classroom next to the kitchen.
 I know where the proof breaks, and I will fix the signs one by one.
 Delete the vertex, delete the edge, then delete the loop itself.
-Your proof is wrong at line 3, but the idea is nice.
-Merde, j'ai oublié un signe dans ma démonstration.
-Un modérateur a supprimé une remarque insultante de ce fil.
-Mist, ich habe mich verrechnet, mein Beweis ist Unsinn.
-Ein Moderator hat eine beleidigende Bemerkung entfernt.
-Caramba, qué demostración tan bonita.
-Un moderador ha borrado un comentario ofensivo.
+There is an error on page 3, but the idea is nice.
+Damn, my silly mistake again, sorry for the noise.
+What the hell, this is wonderful!
+I feel stupid for asking, but why is this local?
+My slides were a mess and my talk was crap.
+An offensive comment was deleted by the staff.
+The insult in post 4 has been removed by an administrator.
+A dirty trick kills the remainder, and a brute force search finds the rest.
+Sexual reproduction and sex ratios are studied in population models.
+The slave process waits until the master dies.
+Killing vector fields attack the problem from another side.
+Adult fish grow, young ones die, old ones are replaced.
+The degenerate case is ugly, the stupid estimate is useless, and the bound is worthless.
+The abuse of notation is harmless.
+Dummy variables, idiot's Bayes and the monster group are standard terms.
+He kissed the idea goodbye and proved it in bed with a cold.
+Her body of work on bare modules pays off.
+We hit the wall, then we shot down the conjecture and burned the draft.
+A rude remark was taken down by moderators.
+We removed one insulting reply; keep it civil.
+The moderator deleted two offensive posts.
+Moderators removed insulting remarks from both threads.
+Refugees and immigrants are counted in table 5.
+Zut, je me suis trompé de signe, pardon.
+Un message injurieux a été effacé par la modération.
+Les étrangers et les vieux sont comptés dans le tableau.
+Mi primera demostración era una porquería, perdón.
+Se eliminó un mensaje ofensivo.
+Los inmigrantes y los viejos figuran en la tabla.
+Verdammt, mein Beweis war Quatsch, Entschuldigung.
+Eine beleidigende Nachricht wurde gelöscht.
+Die Alten, die Frauen und die Flüchtlinge stehen in der Tabelle.
 Me neither.
-Nice lemma.
-Thanks in advance!
-Then there is a unique map from the first space to the second, and its degree is 4.
-It follows that every smooth curve of this kind has a rational point.
-The bound is sharp when the field is finite.
-We thank a reader for pointing out that the module need not be flat.
-In the lecture we used this fact without proof; here it is.
-Can you say more on why the kernel is closed?
-Does anyone know a reference for this lemma?
-I do not see why the sum should converge, but the table lists the first 20 values.
-The trick is to look at the group first and only then at the ring.
-Let X be a compact space and fix a point in it with the property above.
-Historically, these objects were studied long before the theorem was known.
-My notes are at http://notes.example/u/3.
-If the space is not connected, the claim fails for n < 7.
-Typo in line 12: read 5 in place of 6.
-Hi all, I am stuck on this exercise and would be glad of a hint.
-The girls and boys in the problem class solved it with the help of their teacher.
-Voir le lemme de la page 3 pour un module libre.
-Il s'ensuit que la dimension est bornée par 4.
-Pourriez-vous expliquer pourquoi le groupe reste compact ?
-Se sigue que la norma está acotada por 5, según el teorema.
-¿Por qué el anillo no es libre cuando n es par?
-Supongamos que la curva es conexa y que la función es finita.
-Wir nehmen an, dass die Kurve endlich ist, und nach dem Satz genügt dieser Fall.
-Warum ist das Ideal hier frei?
-Die Schranke 7 ist für normale Fälle scharf, also ist die Norm höchstens 2.
+Thanks a lot!
+Choose a point of this compact space.
+Everything depends on the dimension, and the kernel is closed.
+Could someone explain this step to me, please?
+Misprint: for 6 read 5.
+The girls and boys solved it with the help of their teacher.
+Voyez plutôt la page 3.
+Veamos ahora si es conexa.
+Wieso gilt das hier?
 """.strip().split("\n")
