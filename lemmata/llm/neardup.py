@@ -477,16 +477,19 @@ class Versions:
         that a set with many copies is split; a set with one copy has one part.
         """
         m = self.members.filter("doc_id IS NOT NULL")
-        parts = m.groupBy("rep").agg(F.ceil(F.count("*") / COPIES).alias("parts"))
-        m = m.join(parts, "rep").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        ends = self.links.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("linked", F.lit(True))
+        parts = m.groupBy("rep").agg(F.count("*").alias("n")).join(ends, "rep", "left").filter("n > 1 OR linked")
+        # most records are alone: those that are not are written once
+        parts = materialize(parts.select("rep", "n", F.ceil(F.col("n") / COPIES).alias("parts")), "dup-parts")
+        m = m.join(parts, "rep").select("doc_id", "rep", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+        m = materialize(m, "dup-versions")
         a = m.select(F.col("rep").alias("a"), F.col("doc_id").alias("da"), F.col("part").alias("pa"))
         b = m.select(F.col("rep").alias("b"), F.col("doc_id").alias("db"), F.col("part").alias("pb"))
         size = parts.select("rep", "parts")
         links = self.links.select("a", "b").join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
         links = links.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("pa"), "nb")
         links = links.select("a", "b", "pa", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("pb"))
-        many = m.groupBy("rep", "parts").agg(F.count("*").alias("n")).filter("n > 1")
-        many = many.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pa"), "parts")
+        many = parts.filter("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pa"), "parts")
         many = many.select("a", "b", "pa", F.explode(F.sequence(F.lit(0), F.col("pa"))).alias("pb"))
         out = links.unionByName(many).join(a, ["a", "pa"]).join(b, ["b", "pb"]).filter("da <> db")
         return out.select(F.least("da", "db").alias(f"{self.key}_a"), F.greatest("da", "db").alias(f"{self.key}_b")).distinct()
