@@ -3,7 +3,7 @@
 Method: tree scoring. Formulas and code are set aside; what the four syntaxes say about blocks, links and
 emphasis becomes one kind of marks, and from these a tree of blocks is built. A paragraph earns points
 for its length and commas; they pass in full to its parent, half to its grandparent and a falling share
-to the ancestors above, and every container's sum is discounted by the share of its text that is link
+to the next ancestors (``ANCESTORS`` in all), and every container's sum is discounted by the share of its text that is link
 text. The best container is kept, and its siblings that score near it or look like text or structure.
 Headings, lists, code blocks, quotes, tables and formulas come out in one plain notation.
 
@@ -15,6 +15,9 @@ Defined results
 * constructs in a part that is not kept still count as kinds; code is never searched for other markup;
 * formulas ($..$, $$..$$, \\(..\\), \\[..\\]) are content and are copied letter by letter;
 * characters of the private planes 15 and 16 are removed: they stand for the parts set aside;
+* any depth of nesting and any number of parts is read, in time that grows with the length; lists, quotes and headings
+  within more than ``DEEP`` of their kind are shown as plain paragraphs there;
+* a text that cannot be read comes back as it is, with the reason in ``failure``;
 * repeated rows give repeated results; other columns of the input are ignored.
 """
 
@@ -41,37 +44,36 @@ STRUCTURE = HEADINGS | {"ul", "ol", "li", "code", "table", "blockquote", "math"}
 _ALL_TAGS = "|".join(sorted((BLOCK_TAGS + " " + INLINE_TAGS).split(), key=len, reverse=True))
 _BLOCKS = set(BLOCK_TAGS.split())
 
-#: Marks: open NAME, close NAME, end of name, link from, link to; parts set aside count up from HELD.
+#: Marks: open NAME, close NAME, end of name, link from, link to; parts set aside count up from HELD and LOW.
 OPEN, CLOSE, END, LINK, UNLINK, HELD = "\U000f0000", "\U000f0001", "\U000f0002", "\U000f0003", "\U000f0004", 0xF0010
+#: A part set aside is two characters, one of each private plane; so there can be more of them than a text has characters.
+LOW, SPAN = 0x100000, 0xFFE0
 _PRIVATE = re.compile("[\U000f0000-\U0010ffff]")
-_HELD = re.compile("[\U000f0010-\U0010ffff]")
-
-_ASIDE = re.compile(
-    r"""(?P<fence>```.*?```|~~~.*?~~~)
-    |(?P<comment><!--.*?-->)
-    |(?P<pre><(pre|script|style)\b[^<>]*>.*?</\4\s*>)
-    |(?P<verb>\\begin\{(verbatim|lstlisting|minted)\*?\}.*?\\end\{\6\*?\})
-    |(?P<display>\\begin\{(equation|align|gather|multline|eqnarray|displaymath)\*?\}.*?\\end\{\8\*?\})
-    |(?P<math>\$\$[^$]+\$\$|(?<!\\)\$[^$]+\$|\\\(.+?\\\)|\\\[.+?\\\])
-    |(?P<code><(code|tt|kbd|samp)\b[^<>]*>.*?</\11\s*>)
-    |(?P<tick>(?<!`)`[^`\n]+`(?!`))""",
-    re.S | re.I | re.X,
+_HELD = re.compile("([\U000f0010-\U000fffff])([\U00100000-\U0010ffff])")
+
+#: What begins a part that is set aside; of several at one place the first holds.
+_OPENER = re.compile(
+    r"""(?P<fence>```|~~~)|(?P<comment><!--)|<(?P<pre>pre|script|style)\b[^<>]*>
+    |\\begin\{(?P<verb>verbatim|lstlisting|minted)\*?\}|\\begin\{(?P<display>equation|align|gather|multline|eqnarray|displaymath)\*?\}
+    |(?P<dollars>\$\$)|(?P<dollar>(?<!\\)\$)|(?P<round>\\\()|(?P<square>\\\[)|<(?P<code>code|tt|kbd|samp)\b[^<>]*>|(?P<tick>(?<!`)`)""",
+    re.I | re.X,
 )
+_TICK = re.compile(r"`[^`\n]+`(?!`)")
 #: What no text without markup has; one of these or a line that begins like a block.
-_TRIGGER = re.compile(r"[<&\\`*_~]|''|\[\[|\{\{|\]\(|\[https?:|^\s{0,3}(?:#{1,6}\s|>|=)|^.*\|.*$|^={2,}|^-{3,}\s*$|^\s*(?:[-*+•]|\d+[.)])\s", re.M)
+_TRIGGER = re.compile(r"[<&\\`*_~]|''|\[\[|\{\{|\]\(|\[https?:|^[ \t]{0,3}(?:#{1,6}\s|>|=)|^.*\|.*$|^={2,}|^-{3,}\s*$|^[ \t]*(?:[-*+•]|\d+[.)])\s", re.M)
 _TAG = re.compile(rf"<(/?)({_ALL_TAGS})(?=[\s/>])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
-_DOCTYPE = re.compile(r"<!doctype[^>]*>|<\?xml[^>]*\?>", re.I)
+_DOCTYPE = re.compile(r"<!doctype[^<>]*>|<\?xml[^<>]*\?>", re.I)
 _ENTITY = re.compile(r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 
 _WIKI_HEADING = re.compile(r"^[ \t]*(={2,6})[ \t]*([^=\n](?:[^\n]*?[^=\n])?)[ \t]*\1[ \t]*$", re.M)
 _WIKI_FILE = re.compile(r"\[\[\s*(?:category|file|image)\s*:[^\[\]]*\]\]", re.I)
 _WIKI_LINK = re.compile(r"\[\[([^\[\]|]+)(?:\|([^\[\]]*))?\]\]")
-_WIKI_OUTER = re.compile(r"\[(?:https?|ftp)://[^\s\]]+(?:\s+([^\]\n]*))?\](?!\()")
+_WIKI_OUTER = re.compile(r"\[(?:https?|ftp)://[^\s\]]+(?:\s+([^\[\]\n]*))?\](?!\()")
 _TEMPLATE = re.compile(r"\{\{\s*([A-Za-z][\w \-:/']*?)\s*(?:\|([^{}]*))?\}\}")
-_WIKI_EMPHASIS = re.compile(r"(?<![\w'’)\]}])('{2,3}|'{5})(?=[^\s'])([^\n]*?[^\s'])\1(?![\w'])")
+_WIKI_EMPHASIS = re.compile(r"(?<![\w'’)\]}])('{2,3}|'{5})(?=[^\s'])((?:[^\n']|'(?!'))*[^\s'])\1(?![\w'])")
 
 _MD_HEADING = re.compile(r"^[ ]{0,3}(#{1,6})[ \t]+(\S[^\n]*?)[ \t]*#*[ \t]*$", re.M)
-_MD_SETEXT = re.compile(r"^([^\n|]*\w[^\n|]*)\n(={3,}|-{3,})[ \t]*$", re.M)
+_MD_SETEXT = re.compile(r"^(?=[^\n|]*\w)([^\n|]+)\n(={3,}|-{3,})[ \t]*$", re.M)
 _MD_IMAGE_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\(([^()\s]*(?:\s+\"[^\"]*\")?)\)")
 _MD_QUOTE = re.compile(r"^[ ]{0,3}>[ \t]?(?=[^\s=])", re.M)
 _MD_RULE = re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$|^[ \t]*\|[ \t]*:?-{2,}:?[ \t]*\|[ \t]*$", re.M)
@@ -81,13 +83,13 @@ _MD_STRIKE = re.compile(r"~~(?=\S)([^~\n]+?)(?<=\S)~~")
 
 _TEX_QUOTE = re.compile(r"``((?:(?!``|'').)+?)''", re.S)
 _TEX_HEADING = re.compile(r"\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\s*\{([^{}]*)\}")
-_TEX_ENV = re.compile(r"\\(begin|end)\s*\{([A-Za-z]+)\*?\}(?:\[[^\]\n]*\])?")
-_TEX_ITEM = re.compile(r"\\item\b[ \t]*(?:\[([^\]\n]*)\])?")
-_TEX_DROP = re.compile(r"[ \t~]*\\(?:label|cite[a-z]*|bibitem|hspace|vspace|color|pagestyle|index|input|include|usepackage|documentclass)\*?\s*(?:\[[^\]\n]*\])*\s*\{[^{}]*\}")
+_TEX_ENV = re.compile(r"\\(begin|end)\s*\{([A-Za-z]+)\*?\}(?:\[[^\[\]\n]*\])?")
+_TEX_ITEM = re.compile(r"\\item\b[ \t]*(?:\[([^\[\]\n]*)\])?")
+_TEX_DROP = re.compile(r"(?<![ \t~])[ \t~]*\\(?:label|cite[a-z]*|bibitem|hspace|vspace|color|pagestyle|index|input|include|usepackage|documentclass)\*?\s*(?:\[[^\[\]\n]*\]\s*)*\{[^{}]*\}")
 _TEX_REF = re.compile(r"\\(?:[a-zA-Z]*ref)\*?\s*\{[^{}]*\}")
 _TEX_NOTE = re.compile(r"\\(?:footnote|thanks|marginpar)\s*\{([^{}]*)\}")
-_TEX_COLOUR = re.compile(r"\\(?:textcolor|colorbox|href)\s*(?:\[[^\]\n]*\])?\{[^{}]*\}\s*\{([^{}]*)\}")
-_TEX_WRAP = re.compile(r"\\[A-Za-z]+\*?\s*(?:\[[^\]\n]*\])?\{([^{}]*)\}")
+_TEX_COLOUR = re.compile(r"\\(?:textcolor|colorbox|href)\s*(?:\[[^\[\]\n]*\])?\{[^{}]*\}\s*\{([^{}]*)\}")
+_TEX_WRAP = re.compile(r"\\[A-Za-z]+\*?\s*(?:\[[^\[\]\n]*\])?\{([^{}]*)\}")
 _TEX_WORD = re.compile(r"\\(?:\\|[A-Za-z]+\*?[ \t]?|[%&_#{}$,;:!@~'\"`^=.-])")
 _TEX_TIE = re.compile(r"(?<=\w)~(?=[\w\\])")
 # fixed values: environments that are lists, and what a character escape stands for
@@ -98,6 +100,10 @@ TEX_LEVEL = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsect
 _LIST_LINE = re.compile(r"^[ \t]*([-*+•]|\d{1,3}[.)])[ \t]+(?=\S)", re.M)
 _MARK = re.compile(f"[{OPEN}{CLOSE}][a-z0-9]+{END}")
 _BLANKS = re.compile(r"[ \t\xa0]+")
+#: Longer runs of blanks and of empty lines mean no more than these, and cost time in every pattern.
+_WIDE, _TALL = re.compile(r"[ \t]{9,}"), re.compile(r"\n(?:[ \t]*\n){3,}")
+#: Ancestors that a paragraph passes points to, and how deep lists, quotes and the like are shown within each other.
+ANCESTORS, DEEP = 5, 32
 
 
 def block(name: str, text: str) -> str:
@@ -105,48 +111,97 @@ def block(name: str, text: str) -> str:
 
 
 class Aside:
-    """Parts set aside, each standing in the text as one private character."""
+    """Parts set aside, each standing in the text as two private characters."""
 
     def __init__(self):
         self.parts: list[tuple[str, str]] = []
 
     def put(self, kind: str, text: str) -> str:
+        high, low = divmod(len(self.parts), SPAN)
         self.parts.append((kind, text))
-        return chr(HELD + len(self.parts) - 1)
+        return chr(HELD + high) + chr(LOW + low)
 
     def plain(self, text: str) -> str:
         while _HELD.search(text):
-            text = _HELD.sub(lambda m: self.parts[ord(m[0]) - HELD][1], text)
+            text = _HELD.sub(lambda m: self.parts[(ord(m[1]) - HELD) * SPAN + ord(m[2]) - LOW][1], text)
         return text
 
 
+class Ends:
+    """Where the parts of a text end. What has no end after one place has none after a later one, so each is looked for in vain once."""
+
+    def __init__(self, text: str):
+        self.text, self.gone = text, set()
+
+    def find(self, end: str, start: int) -> int:
+        """The place behind the next end (plain text, or a pattern if it begins with a bracket), or -1."""
+        if end in self.gone:
+            return -1
+        if end[0] == "(":
+            m = re.compile(end, re.I).search(self.text, start)
+            at = m.end() if m else -1
+        else:
+            at = self.text.find(end, start)
+            at = at + len(end) if at >= 0 else -1
+        if at < 0:
+            self.gone.add(end)
+        return at
+
+    def of(self, m: re.Match) -> int:
+        """The place behind the part that an opener begins, or -1 if it begins none."""
+        kind, start = m.lastgroup, m.end()
+        if kind == "fence":
+            return self.find(m[0], start)
+        if kind == "comment":
+            return self.find("-->", start)
+        if kind in ("pre", "code"):
+            return self.find(rf"(?:</{m[kind].lower()}\s*>)", start)
+        if kind in ("verb", "display"):
+            return self.find(rf"(?:\\end\{{{m[kind].lower()}\*?\}})", start)
+        if kind in ("round", "square"):
+            return self.find("\\)" if kind == "round" else "\\]", start + 1)
+        if kind == "tick":
+            t = _TICK.match(self.text, m.start())
+            return t.end() if t else -1
+        at = self.find("$", start)  # a formula in dollars holds none
+        if kind == "dollar":
+            return at if at > start + 1 else -1
+        return at + 1 if at > start + 1 and self.text.startswith("$", at) else -1
+
+
 def _set_aside(text: str, kinds: set[str]) -> tuple[str, Aside]:
-    aside = Aside()
-
-    def put(m: re.Match) -> str:
-        kind, s = m.lastgroup, m[0]
-        if m["math"]:
-            return aside.put("math", s)
-        if m["display"]:
-            kinds.add("latex")
-            body = re.sub(r"\\(?:begin|end)\{[a-z]+\*?\}|\\label\{[^{}]*\}", "", s, flags=re.I).strip()
-            return block("math", aside.put("math", f"$${body}$$"))
-        if m["fence"]:
-            kinds.add("markdown")
-            return block("code", aside.put("code", re.sub(r"^[\w+#-]*\n", "", s[3:-3]).strip("\n")))
-        if m["tick"]:
-            kinds.add("markdown")
-            return aside.put("tick", s)
-        if m["verb"]:
-            kinds.add("latex")
-            return block("code", aside.put("code", re.sub(r"\\(?:begin|end)\{[a-z]+\*?\}(?:\[[^\]\n]*\])?", "", s, flags=re.I).strip("\n")))
-        kinds.add("html")
-        if m["comment"] or s[1:7].lower() in ("script", "style>", "style "):
-            return ""
-        inner = html.unescape(re.sub(r"</?[a-zA-Z][^<>]*>", "", s))
-        return block("code", aside.put("code", inner.strip("\n"))) if m["pre"] else aside.put("tick", f"`{inner}`")
+    aside, ends, out, done, pos = Aside(), Ends(text), [], 0, 0
+    while (m := _OPENER.search(text, pos)) is not None:
+        end = ends.of(m)
+        if end < 0:
+            pos = m.start() + 1
+            continue
+        out += [text[done : m.start()], _part(m.lastgroup, text[m.start() : end], kinds, aside)]
+        done = pos = end
+    return "".join(out) + text[done:], aside
 
-    return _ASIDE.sub(put, text), aside
+
+def _part(kind: str, s: str, kinds: set[str], aside: Aside) -> str:
+    if kind in ("dollars", "dollar", "round", "square"):
+        return aside.put("math", s)
+    if kind == "display":
+        kinds.add("latex")
+        body = re.sub(r"\\(?:begin|end)\{[a-z]+\*?\}|\\label\{[^{}]*\}", "", s, flags=re.I).strip()
+        return block("math", aside.put("math", f"$${body}$$"))
+    if kind == "fence":
+        kinds.add("markdown")
+        return block("code", aside.put("code", re.sub(r"^[\w+#-]*\n", "", s[3:-3]).strip("\n")))
+    if kind == "tick":
+        kinds.add("markdown")
+        return aside.put("tick", s)
+    if kind == "verb":
+        kinds.add("latex")
+        return block("code", aside.put("code", re.sub(r"\\(?:begin|end)\{[a-z]+\*?\}(?:\[[^\[\]\n]*\])?", "", s, flags=re.I).strip("\n")))
+    kinds.add("html")
+    if kind == "comment" or s[1:7].lower() in ("script", "style>", "style "):
+        return ""
+    inner = html.unescape(re.sub(r"</?[a-zA-Z][^<>]*>", "", s))
+    return block("code", aside.put("code", inner.strip("\n"))) if kind == "pre" else aside.put("tick", f"`{inner}`")
 
 
 def _html(text: str, kinds: set[str]) -> str:
@@ -202,7 +257,7 @@ def _wiki(text: str, kinds: set[str]) -> str:
             if not k:
                 break
     if "''" in text:
-        for _ in range(2):
+        for _ in range(3):
             text, k = _WIKI_EMPHASIS.subn(r"\2", text)
             n += k
     if n:
@@ -294,13 +349,13 @@ def _latex(text: str, kinds: set[str]) -> str:
 
 
 class Node:
-    __slots__ = ("name", "up", "parts", "points", "length", "linked", "at")
+    __slots__ = ("name", "up", "parts", "points", "length", "linked", "at", "size")
 
     def __init__(self, name: str, up: Node | None):
         self.name, self.up = name, up
         self.parts: list[Node | str] = []
         self.points, self.length, self.linked = 0.0, 0, 0
-        self.at = 0
+        self.at, self.size = 0, 1
 
     def density(self) -> float:
         return self.linked / self.length if self.length else 0.0
@@ -314,6 +369,7 @@ def build(text: str) -> Node:
     """The tree of blocks of a text whose markup has become marks."""
     root = at = Node("root", None)
     pos = 0
+    opened: dict[str, int] = {}  # by name, how many are open
     for m in _MARK.finditer(text):
         if m.start() > pos:
             at.parts.append(text[pos : m.start()])
@@ -321,16 +377,18 @@ def build(text: str) -> Node:
         name = m[0][1:-1]
         if m[0][0] == OPEN:
             while at.up is not None and name in ENDED_BY.get(at.name, ()) and not (at.name == "p" and name == "math"):
+                opened[at.name] -= 1
                 at = at.up
             node = Node(name, at)
             at.parts.append(node)
             at = node
-        else:
-            up = at
-            while up is not None and up.name != name:
-                up = up.up
-            if up is not None and up.up is not None:  # an end without a beginning is ignored
-                at = up.up
+            opened[name] = opened.get(name, 0) + 1
+        elif opened.get(name):  # an end without a beginning is ignored
+            while at.name != name:
+                opened[at.name] -= 1
+                at = at.up
+            opened[name] -= 1
+            at = at.up
     if pos < len(text):
         at.parts.append(text[pos:])
     return root
@@ -359,12 +417,13 @@ def score(root: Node) -> list[Node]:
                         points = 1 + run.count(",") + min(n // 100, 3)
                         # the block that holds the text is the paragraph, unless text stands freely in a container
                         up, level = (node if node.name in ("root", "div", "section", "article", "main", "body") else node.up), 0
-                        while up is not None:
+                        while up is not None and level < ANCESTORS:
                             up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
                             up, level = up.up, level + 1
         if node.up is not None:
             node.up.length += node.length
             node.up.linked += node.linked
+            node.up.size += node.size
     return order
 
 
@@ -397,34 +456,38 @@ def render(root: Node, keep: set[int], aside: Aside) -> str:
             if run:
                 out.append(prefix + run)
 
-    def walk(node: Node, inside: bool, depth: int, mark: str) -> None:
+    def walk(node: Node, inside: bool, depth: int, mark: str, level: int) -> Iterator[Iterator]:
+        """Yields the walks of the children where they belong; level: how many blocks with a form of their own are around it."""
         name = node.name
         if name in BOILERPLATE and inside and node.up is not None and node.density() > 0.3:
             return
         if name == "code":
             out.append("```\n" + "".join(p for p in node.parts if isinstance(p, str)).strip("\n") + "\n```")
             return
-        number = 0
-        text: list[str] = []
-        before = len(out)
+        number, text, any_text, before = 0, [], False, len(out)
+        formed = name in HEADINGS or name in ("li", "blockquote", "ul", "ol", "table", "thead", "tbody")
         for p in node.parts:
             if isinstance(p, str):
                 text.append(p)
+                any_text |= bool(p.strip())
                 continue
             kept = inside or p.at in keep
             if kept or ~p.at in keep:
                 if p.name in ("td", "th"):
                     cell = "".join(q for q in p.parts if isinstance(q, str)).strip()
-                    text.append((" | " if "".join(text).strip() else "") + cell)
-                    rest = [q for q in p.parts if isinstance(q, Node)]
-                    for q in rest:
-                        walk(q, kept, depth, "")
+                    text.append((" | " if any_text else "") + cell)
+                    any_text |= bool(cell)
+                    for q in p.parts:
+                        if isinstance(q, Node):
+                            yield walk(q, kept, depth, "", level + formed)
                     continue
                 flush("".join(text))
-                text = []
+                text, any_text = [], False
                 number += p.name == "li"
-                walk(p, kept, depth + (name in ("ul", "ol")), f"{number}. " if name == "ol" else "- ")
+                yield walk(p, kept, depth + (name in ("ul", "ol")), f"{number}. " if name == "ol" else "- ", level + formed)
         flush("".join(text))
+        if level >= DEEP:
+            return
         if name in HEADINGS:
             joined = " ".join(" ".join(out[before:]).split())
             out[before:] = ["#" * int(name[1]) + " " + joined] if joined else []
@@ -432,10 +495,16 @@ def render(root: Node, keep: set[int], aside: Aside) -> str:
             out[before:] = ["  " * max(0, depth - 1) + mark + "\n".join(out[before:])] if len(out) > before else []
         elif name == "blockquote":
             out[before:] = ["> " + "\n> ".join("\n".join(out[before:]).split("\n"))] if len(out) > before else []
-        elif name in ("ul", "ol", "table", "thead", "tbody"):
+        elif formed:
             out[before:] = ["\n".join(out[before:])] if len(out) > before else []
 
-    walk(root, root.at in keep, 0, "")
+    stack = [walk(root, root.at in keep, 0, "", 0)]
+    while stack:  # a deep tree needs no deep stack of calls
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+        else:
+            stack.append(child)
     text = "\n\n".join(out).replace(LINK, "").replace(UNLINK, "")
     return aside.plain(text)
 
@@ -468,6 +537,7 @@ def clean(text: str) -> tuple[str, list[str], int]:
     if not _TRIGGER.search(text):
         return "\n".join(_BLANKS.sub(" ", x).strip() for x in text.split("\n")).strip(), [], 1
     text, aside = _set_aside(text, kinds)
+    text = _TALL.sub("\n\n\n", _WIDE.sub(" " * 8, text))
     if _TRIGGER.search(text) or OPEN in text:
         text = _html(text, kinds)
         text = _latex(text, kinds)
@@ -479,26 +549,32 @@ def clean(text: str) -> tuple[str, list[str], int]:
         return aside.plain(re.sub(r"\n{3,}", "\n\n", text).strip()), sorted(kinds), 1
     root = build(text)
     keep = choose(root)
-    return render(root, keep, aside).strip(), sorted(kinds), root_size(root)
+    return render(root, keep, aside).strip(), sorted(kinds), root.size
 
 
-def root_size(root: Node) -> int:
-    return 1 + sum(root_size(p) for p in root.parts if isinstance(p, Node)) if root.parts else 1
+def clean_or_keep(text: str | None) -> tuple[str | None, list[str], int, str | None]:
+    """clean(), and why it failed: one text that it cannot read is kept as it is and does not end the job."""
+    if text is None:
+        return None, [], 0, None
+    try:
+        return *clean(text), None
+    except Exception as e:
+        return text, [], 1, f"{type(e).__name__}: {e}"[:200]
 
 
-SCHEMA = "clean string, kinds array<string>, blocks int"
+SCHEMA = "clean string, kinds array<string>, blocks int, failure string"
 
 
 def clean_markup(df: DataFrame, key: str = "doc_id", text: str = "statement") -> DataFrame:
-    """(key, clean, kinds, blocks) of every row."""
+    """(key, clean, kinds, blocks, failure) of every row."""
     base = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [(None, [], 0) if t is None else clean(t) for t in b["text"].to_pylist()]
+            done = [clean_or_keep(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.list_(pa.string())), pa.array([x[2] for x in done], pa.int32())],
-                names=["doc_id", "clean", "kinds", "blocks"],
+                [b["doc_id"], pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.list_(pa.string())), pa.array([x[2] for x in done], pa.int32()), pa.array([x[3] for x in done], pa.string())],
+                names=["doc_id", "clean", "kinds", "blocks", "failure"],
             )
 
     return base.mapInArrow(run, f"doc_id {dict(base.dtypes)['doc_id']}, {SCHEMA}").withColumnRenamed("doc_id", key)
