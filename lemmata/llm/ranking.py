@@ -58,7 +58,7 @@ def wide(candidates: DataFrame, corpus: DataFrame | None, channels: dict[str, bo
 
 
 def rank_walk(query: np.ndarray, scores: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
-    """Stationary mass of every row; query: sorted integers, one run of equal values a query; scores: rows x scores, NaN if missing."""
+    """Stationary mass of every row, times the candidates of its query (1 is the mean); query: sorted integers, one run of equal values a query; scores: rows x scores, NaN if missing."""
     n, k = scores.shape
     if not n:
         return np.zeros(0)
@@ -89,7 +89,7 @@ def rank_walk(query: np.ndarray, scores: np.ndarray, damping: float = DAMPING, s
             sums = np.r_[0.0, np.cumsum(m * share)]
             total += (sums[stop] - sums[after] + np.where(top, m, 0.0))[back]
         x = base + damping / k * total
-    return x
+    return x * size[run]
 
 
 def _together(columns: list[str], damping: float, steps: int):
@@ -147,11 +147,11 @@ def _walk_apart(hot: DataFrame, columns: list[str], damping: float, steps: int,
         got = got.select("query_id", "j", "above", (F.col("g") + F.col("o")).alias("g"))
         step = mass.join(got, ["query_id", "j", "above"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("g") + F.when(F.col("above") == 0, F.col("mass")).otherwise(0.0)).alias("t"))
         x = materialize(start.join(step, ["query_id", "doc_id"]).select("query_id", "doc_id", "size", (F.lit(1 - damping) / F.col("size") + F.lit(damping / k) * F.col("t")).alias("mass")), "walk-mass")
-    return x.select("query_id", "doc_id", "mass")
+    return x.select("query_id", "doc_id", (F.col("mass") * F.col("size")).alias("mass"))
 
 
 def stationary(table: DataFrame, damping: float = DAMPING, steps: int = STEPS, hot: int = HOT_CANDIDATES) -> DataFrame:
-    """(query_id, doc_id, mass) of a table as wide() gives it."""
+    """(query_id, doc_id, mass) of a table as wide() gives it; masses are relative to the mean of the query, whatever its size."""
     columns = [c for c in table.columns if c not in ("query_id", "doc_id")]
     table = materialize(table, "walk-table")
     sizes = table.groupBy("query_id").agg(F.count("*").alias("size"))
@@ -166,8 +166,8 @@ def stationary(table: DataFrame, damping: float = DAMPING, steps: int = STEPS, h
 
 
 def combined_order() -> list[Column]:
-    """By mass, rounded so that sums made in another order do not part ties, then by id."""
-    return [F.desc(F.round("mass", 12)), F.asc("doc_id")]
+    """By mass (relative to the mean), rounded so that sums made in another order do not part ties, then by id."""
+    return [F.desc(F.round("mass", 9)), F.asc("doc_id")]
 
 
 def top(table: DataFrame, k: int) -> DataFrame:
