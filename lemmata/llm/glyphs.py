@@ -1,11 +1,12 @@
 """Problem 4: text that looks alike but is spelt with other characters, brought to one form.
 
 Method: script-aware repair. Full-width forms, joined letters, accents apart from their letters,
-invisible characters and odd spaces are replaced by rule. Look-alike letters are judged by token: the
-dominant script is Latin if every letter is Latin or can pass for a Latin one, and at least one is Latin;
-the look-alikes are replaced only if the Latin spelling is in the vocabulary of the corpus (compared in
-lower case without accents). A token made of look-alikes alone is judged in the same way, unless a word
-that is plainly of their script stands next to it.
+invisible characters and odd spaces are replaced by rule. Look-alike letters are judged by token: its
+dominant script is that of the letters which pass for no Latin one, and Latin if all others can pass for Latin
+letters. In a token of mixed scripts whose dominant one is Latin the look-alikes are replaced, but only if the
+Latin spelling is in the vocabulary of the corpus (compared in lower case without accents). A token that is made of
+look-alikes alone has no mixture in itself; it counts as mixed into its text, under the same condition, unless
+a word that is plainly of its script stands next to it.
 
 One pass over the texts gives, of every task, its distinct words and the spellings in question; the
 vocabulary stays distributed and is only met by a semi-join on those spellings.
@@ -91,6 +92,15 @@ def script(char: str) -> str:
     return "greek" if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000 else "cyrillic" if 0x400 <= o < 0x530 else "armenian" if 0x530 <= o < 0x590 else "latin"
 
 
+def dominant_script(word: str) -> str:
+    """The script that a word is written in: that of its letters which pass for no Latin one, else Latin if it has a Latin letter, else that of most of its letters."""
+    own = [script(c) for c in word if c not in LOOKS_LIKE and _NON_LATIN.match(c)]
+    if not own and any(c not in LOOKS_LIKE for c in word):
+        return "latin"
+    seen = own or [script(c) for c in word]
+    return max(sorted(set(seen)), key=seen.count)
+
+
 def spellings(text: str) -> list[tuple[int, int, str]]:
     """(start, end, Latin spelling) of the tokens that may be look-alikes; text: as by_rule() gives it."""
     if text.isascii() or not _LOOKS.search(text):
@@ -100,12 +110,11 @@ def spellings(text: str) -> list[tuple[int, int, str]]:
         w = m[0]
         if w.isascii() or not _LOOKS.search(w):
             continue
-        latin = w.translate(_TABLE)
+        latin, s = w.translate(_TABLE), dominant_script(w)
         if _NON_LATIN.search(latin):
             continue  # a letter that no Latin one looks like: a genuine word of its script
         foreign = [c for c in w if c in LOOKS_LIKE]
-        if len(foreign) == len(w):
-            s = script(foreign[0])
+        if len(foreign) == len(w):  # no mixture in itself: one is seen only in the words around it
             if s == "greek" and len(w) == 1:
                 continue  # a sign of mathematics
             near = [words[j][0] for j in (k - 1, k + 1) if 0 <= j < len(words)]

@@ -46,3 +46,8 @@ def test_operator(spark):
     assert by["b"]["name"] == "Wide" and by["c"]["statement"] is None and by["d"]["statement"] == "zzqһ" and by[None]["statement"] == "the"
     assert by["e"]["statement"] == "x" * 50_000
     assert G.affected(df.limit(0)).count() == 0 and G.repaired(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("word, want", [("pаge", "latin"), ("слово", "cyrillic"), ("сор", "cyrillic"), ("словo", "cyrillic"), ("word", "latin"), ("λόγος", "greek"), ("ο", "greek")])
+def test_dominant_script(word, want):
+    assert G.dominant_script(word) == want
