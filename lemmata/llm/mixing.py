@@ -26,7 +26,7 @@ from lemmata.llm.packing import byte_tokens
 from lemmata.plans.runtime import bounded_broadcast, materialize
 
 #: Bits of the hash by which each level of histograms splits, and the levels.
-LEVEL_BITS, LEVELS = 10, 2
+HASH_BITS, LEVEL_BITS, LEVELS = 60, 10, 2
 #: Targets are a small table by contract.
 MAX_TARGETS = 100_000
 
@@ -36,10 +36,15 @@ def source_key(source: Column) -> Column:
     return F.when(s != "", s)
 
 
+def document_hash(key: Column) -> Column:
+    """HASH_BITS bits that any engine can compute from the id; 0 for a null one."""
+    return F.coalesce(F.conv(F.substring(F.md5(key.cast("string")), 1, HASH_BITS // 4), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(id, src, n, h) of the documents that have a source, written once: the texts are read a single time."""
     base = docs.select(F.col(key).alias("id"), source_key(F.col(source)).alias("src"), byte_tokens(F.col(text)).alias("n"))
-    return materialize(base.filter("src IS NOT NULL").withColumn("h", F.xxhash64("id")), "mix-sized")
+    return materialize(base.filter("src IS NOT NULL").withColumn("h", document_hash(F.col("id"))), "mix-sized")
 
 
 def plan(base: DataFrame, targets: DataFrame) -> DataFrame:
@@ -67,7 +72,7 @@ def plan(base: DataFrame, targets: DataFrame) -> DataFrame:
 
 def bucket(level: int) -> Column:
     """The bits of the hash that a level of histograms goes by, from the top."""
-    return F.shiftrightunsigned("h", 64 - LEVEL_BITS * (level + 1)).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
+    return F.shiftrightunsigned("h", HASH_BITS - LEVEL_BITS * (level + 1)).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
 
 
 def times(once_more: Column) -> Column:

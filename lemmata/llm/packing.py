@@ -1,7 +1,7 @@
 """Problem 6: documents laid into containers of fixed capacity with little room left over.
 
 Method: best-fit decreasing. A segment tree over the remaining capacities counts the open bins of each,
-and finds the tightest bin that a document fits in O(log capacity). Only (id, size) pairs travel; a hash
+and finds the tightest bin that a document fits in logarithmic time, whatever the capacity. Only (id, size) pairs travel; a hash
 of the id deals them into blocks of about ``BLOCK_ROWS`` documents, each packed by one task, so that a
 task's memory has a bound and the only room lost to the blocks is in the last bins of each.
 
@@ -17,7 +17,9 @@ Defined results
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,26 +38,40 @@ def byte_tokens(text: Column) -> Column:
 
 
 class TightestBin:
-    """Open bins by remaining capacity, in a segment tree of counts: leaf r holds the bins with r left."""
+    """Open bins by remaining capacity, in a segment tree of counts.
+
+    Up to LEAVES a leaf stands for one remaining capacity; beyond, for a range of them, whose bins are kept in order,
+    so that the tree does not grow with the capacity.
+    """
+
+    LEAVES = 1 << 16
 
     def __init__(self, capacity: int):
-        self.leaves = 1 << capacity.bit_length()
+        self.shift = max(0, capacity.bit_length() - (self.LEAVES.bit_length() - 1))
+        self.leaves = 1 << max(1, (capacity >> self.shift).bit_length())
         self.count = [0] * (2 * self.leaves)
-        self.bins: dict[int, list[int]] = {}
+        self.bins: dict[int, list[tuple[int, int]]] = {}
 
     def add(self, left: int, bin_no: int) -> None:
-        self.bins.setdefault(left, []).append(bin_no)
-        i = left + self.leaves
+        held = self.bins.setdefault(left >> self.shift, [])
+        # of bins with the same room the latest is taken first
+        held.insert(bisect_left(held, left, key=itemgetter(0)), (left, bin_no)) if self.shift else held.append((left, bin_no))
+        i = (left >> self.shift) + self.leaves
         while i:
             self.count[i] += 1
             i >>= 1
 
     def take(self, size: int) -> tuple[int, int] | None:
         """Remove and return (remaining, bin) of the bin with the least remaining capacity >= size."""
-        count, i = self.count, size + self.leaves
+        count, i = self.count, (size >> self.shift) + self.leaves
         if i >= 2 * self.leaves:
             return None
-        if not count[i]:
+        at = -1
+        if self.shift and count[i]:  # bins of the same range may still be too small
+            held = self.bins[i - self.leaves]
+            at = bisect_left(held, size, key=itemgetter(0))
+        if not count[i] or self.shift and at == len(held):
+            at = 0 if self.shift else -1
             while i > 1 and (i & 1 or not count[i + 1]):  # climb until a right sibling has bins
                 i >>= 1
             if i <= 1:
@@ -65,8 +81,7 @@ class TightestBin:
                 i <<= 1
                 if not count[i]:
                     i += 1
-        left = i - self.leaves
-        bin_no = self.bins[left].pop()
+        left, bin_no = self.bins[i - self.leaves].pop(at)
         while i:
             count[i] -= 1
             i >>= 1

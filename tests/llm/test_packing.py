@@ -28,6 +28,22 @@ def test_segment_tree_packs_like_a_plain_search(seed):
     assert np.bincount(placed, sizes, used).max(initial=0) <= capacity
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_a_tree_over_ranges_of_room_packs_the_same(seed, monkeypatch):
+    rng = random.Random(seed)
+    capacity = rng.choice([200, 1000, 99_999])
+    sizes = np.array([rng.randint(0, capacity) for _ in range(300)])
+    want, used = P.best_fit_decreasing(sizes, capacity)
+    monkeypatch.setattr(P.TightestBin, "LEAVES", 8)
+    got, again = P.best_fit_decreasing(sizes, capacity)
+    assert again == used == brute_best_fit(sizes.tolist(), capacity) and (got == want).all()
+
+
+def test_a_huge_capacity_needs_no_huge_tree():
+    assert len(P.TightestBin(1 << 60).count) <= 1 << 18
+    assert P.best_fit_decreasing(np.array([1 << 59, 1 << 59, 5]), 1 << 60)[1] == 2
+
+
 def test_operator(spark):
     rng = random.Random(9)
     rows = [(i, "ä" * rng.randint(0, 60)) for i in range(300)] + [(1000, None), (1001, ""), (1002, "x" * 100), (1003, "x" * 101), (1004, "x" * 250), (None, "null"), (1004, "x" * 250)]
