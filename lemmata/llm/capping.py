@@ -58,6 +58,8 @@ def cap_contributors(
         raise ValueError("a share from 0 to 1 or a count of at least 0 is needed")
     base = df.select(F.col(key).alias("id"), contributor(F.col(source)).alias("who"), citations(F.col(quality)).alias("q"))
     base = base.withColumn("bin", quality_bin(F.col("q")))
+    # sources and citations are read once; the three passes below read four narrow columns
+    base = materialize(base, "cap-base")
     histogram = materialize(base.groupBy("who", "bin").agg(F.count("*").alias("n")), "cap-histogram")
     rows = histogram.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cap = min([c for c in (None if share is None else int(share * rows + 1e-9), count) if c is not None])
