@@ -21,54 +21,78 @@ from lemmata.plans.runtime import partitions_of
 BLOCK = 4096
 
 
-def pack(df: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
-    """(ids, m, d): blocks of up to BLOCK vectors as float32 matrices; rows without a vector are left out."""
-    base = df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+def as_words(m: np.ndarray) -> np.ndarray:
+    """Signs of vectors as words of 64 bits; what the last word lacks is filled with zeros on both sides of a search."""
+    bits = np.packbits(m > 0, axis=1)
+    return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+
+
+#: How a block holds its vectors: as floats, as codes of one byte, or as one bit a dimension.
+FORMS = {"float": (np.float32, lambda m: m.astype(np.float32)), "int8": (np.int8, lambda m: m.astype(np.int8)), "bits": (np.uint64, as_words)}
+
+
+def pack(df: DataFrame, key: str, vector: str, block: int = BLOCK, form: str = "float") -> DataFrame:
+    """(ids, m, d): blocks of up to BLOCK vectors as matrices of the form; rows without a vector are left out."""
+    kind = "array<tinyint>" if form == "int8" else "array<float>"
+    base = df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast(kind).alias("v"))
+    shaped = FORMS[form][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows, d = [], [], 0
+        ids, rows, d, held = [], [], 0, 0
         for b in batches:
             if not b.num_rows:
                 continue
             m = b["v"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             d = m.shape[1]
             ids.append(b["id"].to_numpy())
-            rows.append(m)
-            if sum(map(len, ids)) >= block:
+            rows.append(shaped(m))
+            held += b.num_rows
+            if held >= block:
                 yield from out(np.concatenate(ids), np.concatenate(rows), d)
-                ids, rows = [], []
+                ids, rows, held = [], [], 0
         if ids:
             yield from out(np.concatenate(ids), np.concatenate(rows), d)
 
     def out(ids: np.ndarray, m: np.ndarray, d: int) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(ids), block):
-            yield pa.RecordBatch.from_arrays([pa.array([ids[a : a + block].tobytes()]), pa.array([m[a : a + block].astype(np.float32).tobytes()]), pa.array([d], pa.int32())], names=["ids", "m", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[a : a + block].tobytes()]), pa.array([m[a : a + block].tobytes()]), pa.array([d], pa.int32())], names=["ids", "m", "d"])
 
     return base.mapInArrow(run, "ids binary, m binary, d int")
 
 
-def block_search(queries: DataFrame, docs: DataFrame, k: int, metric: str = "dot", digits: int = 9) -> DataFrame:
+def _products(x: np.ndarray, y: np.ndarray, digits: int) -> np.ndarray:
+    return np.round(x @ y.T, digits)
+
+
+def _agreements(x: np.ndarray, y: np.ndarray, digits: int) -> np.ndarray:
+    """The negative numbers of differing signs, word by word."""
+    differ = np.zeros((len(x), len(y)), np.int16)
+    for w in range(x.shape[1]):
+        differ += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+    return -differ
+
+
+def block_search(queries: DataFrame, docs: DataFrame, k: int, form: str = "float", digits: int = 9) -> DataFrame:
     """(query_id, doc_id, score) of the best k documents of every query and block, both sides as pack() gives them.
 
-    metric: dot, or bits (the negative number of differing signs). Scores are computed in double and rounded to
-    digits; of equal ones those with the least ids stay, so that copies never make more than k rows.
+    form: how the documents are packed. Queries are floats, or bits where the documents are; the score is the product,
+    of bits the negative number of differing signs. Products are computed in double and rounded to digits; of equal
+    scores those with the least ids stay, so that copies never make more than k rows.
     """
     q = queries.select(F.col("ids").alias("qi"), F.col("m").alias("qm"), F.col("d").alias("qd"))
     docs = docs.repartition(partitions_of(docs.sparkSession))
+    bits, kind = form == "bits", FORMS[form][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 qi, di = np.frombuffer(r["qi"], np.int64), np.frombuffer(r["ids"], np.int64)
-                x = np.frombuffer(r["qm"], np.float32).reshape(-1, r["qd"]).astype(np.float64)
-                y = np.frombuffer(r["m"], np.float32).reshape(-1, r["d"]).astype(np.float64)
-                if metric == "bits":
-                    x, y = np.where(x > 0, 1.0, -1.0), np.where(y > 0, 1.0, -1.0)
+                x = np.frombuffer(r["qm"], np.uint64 if bits else np.float32).reshape(len(qi), -1)
+                y = np.frombuffer(r["m"], kind).reshape(len(di), -1)
+                if not bits:
+                    x, y = x.astype(np.float64), y.astype(np.float64)
                 for a in range(0, len(qi), 512):
-                    s = x[a : a + 512] @ y.T
-                    if metric == "bits":
-                        s = (s - r["d"]) / 2
-                    s = np.round(s, digits)
+                    s = (_agreements if bits else _products)(x[a : a + 512], y, digits)
                     if len(di) > k:
                         floor = np.partition(s, -k, axis=1)[:, -k]
                         i, j = np.nonzero(s >= floor[:, None])
@@ -78,7 +102,7 @@ def block_search(queries: DataFrame, docs: DataFrame, k: int, metric: str = "dot
                         i, j = i[place < k], j[place < k]
                     else:
                         i, j = (z.reshape(-1) for z in np.indices(s.shape))
-                    yield pa.RecordBatch.from_arrays([pa.array(qi[a + i]), pa.array(di[j]), pa.array(s[i, j])], names=["query_id", "doc_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[a + i]), pa.array(di[j]), pa.array(s[i, j].astype(float))], names=["query_id", "doc_id", "score"])
 
     pairs = docs.crossJoin(q)  # of blocks: a stated query set against all rows
     found = pairs.select("qi", "qm", "qd", "ids", "m", "d").mapInArrow(run, "query_id bigint, doc_id bigint, score double")
@@ -91,8 +115,22 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def scales(df: DataFrame, vector: str) -> DataFrame:
-    """(dim, scale): the largest size of each dimension over 127; 1 for a dimension of zeros."""
-    t = df.select(F.posexplode(vector).alias("dim", "x")).groupBy("dim").agg(F.max(F.abs(F.col("x").cast("double"))).alias("m"))
+    """(dim, scale): the largest size of each dimension over 127; 1 for a dimension of zeros.
+
+    A task reduces its rows to one vector of maxima, so as many rows as tasks and dimensions are shuffled.
+    """
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = None
+        for b in batches:
+            if b.num_rows:
+                m = np.abs(b["v"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)).max(0)
+                most = m if most is None else np.maximum(most, m)
+        if most is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(most), dtype=np.int32)), pa.array(most.astype(float))], names=["dim", "x"])
+
+    t = df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(vector).cast("array<double>").alias("v"))
+    t = t.mapInArrow(largest, "dim int, x double").groupBy("dim").agg(F.max("x").alias("m"))
     return t.select("dim", F.when(F.col("m") > 0, F.col("m") / 127).otherwise(1.0).alias("scale"))
 
 

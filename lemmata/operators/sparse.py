@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmata.functions import columns as C
 from lemmata.plans.runtime import BROADCAST_ROWS, materialize, partitions_of
+from lemmata.sources import writers
 
 K1, B = 1.5, 0.75
 
@@ -105,8 +108,8 @@ def block_index(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     return materialize(base.mapInArrow(run, _INDEX), "bm25-index")
 
 
-def _counts(index: DataFrame) -> DataFrame:
-    """(term, df) over all blocks."""
+def _counts(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, df) over all blocks, of the asked terms only: the others are dropped before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,58 +117,110 @@ def _counts(index: DataFrame) -> DataFrame:
                 e = np.asarray(ends.values)
                 yield pa.RecordBatch.from_arrays([terms.values, pa.array(np.diff(np.r_[0, e]).astype(np.int64))], names=["term", "df"])
 
-    return index.select("terms", "ends").mapInArrow(run, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    counts = index.select("terms", "ends").mapInArrow(run, "term string, df bigint")
+    return counts.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def block_top(docs: DataFrame, terms: DataFrame, k: int, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, keep: Column | None = None) -> DataFrame:
+#: Queries of a block that are scored in one pass, and blocks of queries that a task keeps decoded.
+PASS, DECODED = 64, 64
+
+
+class _Asked:
+    """A block of queries: its distinct terms, and by query the places and weights of its terms in order of term."""
+
+    def __init__(self, rows: list[dict]):
+        self.ids = [r["query_id"] for r in rows]
+        words = sorted({w["term"] for r in rows for w in r["w"]})
+        place = {w: i for i, w in enumerate(words)}
+        flat = sorted((q, place[w["term"]], w["idf"]) for q, r in enumerate(rows) for w in r["w"])
+        self.words = words
+        self.query, self.term, self.idf = (np.array(x, t) for x, t in zip(zip(*flat), (np.int64, np.int64, float)))
+
+    def scores(self, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, gain: np.ndarray, docs: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(first query, scores of PASS queries x docs); at: by own term, its place in the record block, or -1."""
+        here = at[self.term]
+        for a in range(0, len(self.ids), PASS):
+            lo, hi = np.searchsorted(self.query, [a, a + PASS])
+            on = np.flatnonzero(here[lo:hi] >= 0) + lo
+            n = ends[here[on]] - starts[here[on]]
+            rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[here[on]], n)
+            cell = np.repeat(self.query[on] - a, n) * docs + doc[rows]
+            many = min(PASS, len(self.ids) - a)
+            yield a, np.bincount(cell, np.repeat(self.idf[on], n) * gain[rows], many * docs).reshape(many, docs)
+
+
+def block_top(docs: DataFrame | None, terms: DataFrame, k: int, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, keep: Column | None = None, index: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, rank, score) of the k best, as top(scores(...)), on blocks.
 
     Blocks of queries meet blocks of records; a block adds up arrays by term and passes on its k best of each
-    query, so neither all scored pairs nor a common term's postings are ever shuffled.
+    query, so neither all scored pairs nor a common term's postings are ever shuffled. index: as block_index() or
+    open_index() give it, in place of docs and keep.
     """
-    index = block_index(docs, key, text, keep)
+    index = block_index(docs, key, text, keep) if index is None else index
     stats = index.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.aggregate("lens", F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0)).alias("total")).first()
     n, avgdl = stats["n"], (stats["total"] / stats["n"] if stats["total"] else 1.0)
     idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(_counts(index), "term").select("query_id", F.struct("term", idf.alias("idf")).alias("w")).groupBy("query_id").agg(F.collect_list("w").alias("w"))
+    weighted = terms.join(_counts(index, terms), "term").select("query_id", F.struct("term", idf.alias("idf")).alias("w")).groupBy("query_id").agg(F.collect_list("w").alias("w"))
+    weighted = materialize(weighted, "bm25-asked")
     blocks = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-weighted.count() // QUERY_BLOCK))))
     queries = weighted.groupBy(blocks.alias("block")).agg(F.collect_list(F.struct("query_id", "w")).alias("q"))
     q_kind = dict(terms.dtypes)["query_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoded: dict[int, _Asked] = {}
         for batch in batches:
             for r in range(batch.num_rows):
                 x = {c: batch[c][r] for c in batch.schema.names}
+                number = x["block"].as_py()
+                if number not in decoded:
+                    if len(decoded) >= DECODED:
+                        decoded.clear()
+                    decoded[number] = _Asked(x["q"].as_py())
+                asked = decoded[number]
                 ids, keep_ = x["ids"].values, np.asarray(x["keep"].values.to_numpy(zero_copy_only=False), bool)
                 lens, ends, doc, tf = (np.asarray(x[c].values) for c in ("lens", "ends", "docs", "tfs"))
-                at = {t: i for i, t in enumerate(x["terms"].values.to_pylist())}
+                starts = np.r_[0, ends[:-1]]
+                found = pa.compute.index_in(pa.array(asked.words, pa.string()), value_set=x["terms"].values)
+                at = found.fill_null(-1).to_numpy(zero_copy_only=False)
                 gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[doc] / avgdl))
                 out_q, out_d, out_s = [], [], []
-                for q in x["q"].as_py():
-                    score, hit = np.zeros(len(lens)), np.zeros(len(lens), bool)
-                    for w in sorted(q["w"], key=lambda w: w["term"]):
-                        i = at.get(w["term"])
-                        if i is not None:
-                            s = slice(ends[i - 1] if i else 0, ends[i])
-                            score[doc[s]] += w["idf"] * gain[s]
-                            hit[doc[s]] = True
-                    found = np.flatnonzero(hit & keep_)
-                    if len(found) > k:
-                        v = np.round(score[found], 9)
-                        floor = np.partition(v, -k)[-k]
-                        better, ties = found[v > floor], found[v == floor]
-                        if len(better) + len(ties) > k:  # of equal scores the least ids
-                            names = ids.take(pa.array(ties)).to_pylist()
-                            ties = ties[sorted(range(len(ties)), key=names.__getitem__)[: k - len(better)]]
-                        found = np.r_[better, ties]
-                    out_q.extend([q["query_id"]] * len(found))
-                    out_d.append(found)
-                    out_s.append(score[found])
+                for first, scores_ in asked.scores(at, starts, ends, doc, gain, len(lens)):
+                    v = np.round(np.where(keep_, scores_, 0.0), 9)
+                    for q in np.flatnonzero(v.any(1)):
+                        hits = np.flatnonzero(v[q])
+                        if len(hits) > k:
+                            w = v[q, hits]
+                            floor = np.partition(w, -k)[-k]
+                            better, ties = hits[w > floor], hits[w == floor]
+                            if len(better) + len(ties) > k:  # of equal scores the least ids
+                                names = ids.take(pa.array(ties)).to_pylist()
+                                ties = ties[sorted(range(len(ties)), key=names.__getitem__)[: k - len(better)]]
+                            hits = np.r_[better, ties]
+                        out_q.extend([asked.ids[first + q]] * len(hits))
+                        out_d.append(hits)
+                        out_s.append(scores_[q, hits])
                 if out_q:
                     yield pa.RecordBatch.from_arrays([pa.array(out_q, batch_kind), ids.take(pa.array(np.concatenate(out_d))), pa.array(np.concatenate(out_s))], names=["query_id", "doc_id", "score"])
 
     batch_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[q_kind]
-    pairs = index.repartition(partitions_of(docs.sparkSession)).crossJoin(queries.select("q"))  # of blocks: a stated query set against all rows
+    pairs = index.repartition(partitions_of(terms.sparkSession)).crossJoin(queries.select("block", "q"))  # of blocks: a stated query set against all rows
     # a pair of blocks is some MB; few at a time keep a worker's memory small
     found = pairs.mapInArrow(run, f"query_id {q_kind}, doc_id string, score double")
     return top(found, k)
+
+
+def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> str:
+    """Records and a sum of their hashes, whatever their order: equal for an index of the same texts."""
+    r = docs.agg(F.count("*").alias("n"), F.sum(F.xxhash64(key, text).cast("decimal(38,0)")).alias("h")).first()
+    return f"{r['n']}-{r['h'] or 0}"
+
+
+def open_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: Column | None = None) -> DataFrame:
+    """The saved index of docs at path, built and saved anew only if there is none or it was built from other texts."""
+    spark, name = docs.sparkSession, fingerprint(docs, key, text)
+    try:
+        tables = writers.load_index(spark, path, f"bm25-{name}")
+    except (ValueError, AnalysisException):
+        writers.save_index({"blocks": block_index(docs, key, text, keep)}, path, f"bm25-{name}")
+        tables = writers.load_index(spark, path, f"bm25-{name}")
+    return tables["blocks"]

@@ -206,10 +206,10 @@ QUERIES = {
 }
 
 _NEED = "CASE " + " ".join(f"WHEN contains(lower(t), '{c}') THEN regexp_replace(substr(t, strpos(lower(t), '{c}')), '\\.+$', '')" for c in X.NEED_CUES) + " ELSE t END"
-_CUES = ", ".join("({}, '{}', {}, '{}', {})".format(i, n, str(g).lower(), t.replace("'", "''"), 2 if " " in t or "-" in t else 1) for i, (n, (ts, _, _, g)) in enumerate(X.DOMAINS.items()) for t in ts.split("|"))
+_CUES = ", ".join("({}, '{}', {}, '{}', {})".format(i, n, str(g).lower(), t.replace("'", "''"), 2 if " " in t or "-" in t else 1) for i, (n, (ts, _, _, g)) in enumerate(X.DOMAINS.items()) for t in ts)
 _DOM = f"""WITH c(no, domain, generic, term, weight) AS (VALUES {_CUES}), s AS (SELECT query_id, no, domain, generic, sum(weight) AS score FROM queries, c WHERE contains(lower(query), term) GROUP BY ALL),
 b AS (SELECT *, max(score) FILTER (NOT generic) OVER (PARTITION BY query_id) AS best FROM s), f AS (SELECT query_id, no, domain, CAST(score AS BIGINT) AS score FROM b WHERE NOT generic AND score * 2 >= best OR best IS NULL)"""
-_RES = ", ".join("('{}', {}, '{}')".format(n, i, r.replace("'", "''")) for n, (_, _, rs, _) in X.DOMAINS.items() for i, r in enumerate(rs.split("|")))
+_RES = ", ".join("('{}', {}, '{}')".format(n, i, r.replace("'", "''")) for n, (_, _, rs, _) in X.DOMAINS.items() for i, r in enumerate(rs))
 _SEQ = "s AS (SELECT l_orderkey AS k, printf('A%09d', l_orderkey) AS a_number, list(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ORDER BY l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) AS terms FROM lineitem GROUP BY l_orderkey)"
 _GRAMS = "g AS (SELECT k, a_number, terms, unnest(range(0, len(terms) - 3)) AS pos FROM s WHERE len(terms) >= 4)"
 

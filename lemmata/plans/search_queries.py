@@ -96,9 +96,9 @@ def _int8(s: SparkSession, d: str, k: int) -> DataFrame:
     """The scale goes into the query, so the codes are searched as they are."""
     v = _vectors(s, d)
     scale = dense.scale_row(v, "embedding")
-    codes = v.select("id", F.transform(dense.quantised(F.col("embedding"), scale), lambda x: x.cast("float")).alias("c"))
+    codes = v.select("id", dense.quantised(F.col("embedding"), scale).alias("c"))
     folded = v.filter("id % 20 = 0").select("id", F.zip_with("embedding", F.array(*[F.lit(x) for x in scale]), lambda x, y: (x * y).cast("float")).alias("q"))
-    return dense.top(dense.block_search(dense.pack(folded, "id", "q", 1024), dense.pack(codes, "id", "c"), k), k)
+    return dense.top(dense.block_search(dense.pack(folded, "id", "q", 1024), dense.pack(codes, "id", "c", form="int8"), k, "int8"), k)
 
 
 def int8_topk(s: SparkSession, d: str) -> DataFrame:
@@ -112,7 +112,7 @@ def sign_bits(s: SparkSession, d: str) -> DataFrame:
 
 def _hamming(s: SparkSession, d: str, k: int) -> DataFrame:
     v = _vectors(s, d)
-    return dense.top(dense.block_search(dense.pack(v.filter("id % 20 = 0"), "id", "embedding", 1024), dense.pack(v, "id", "embedding"), k, "bits"), k)
+    return dense.top(dense.block_search(dense.pack(v.filter("id % 20 = 0"), "id", "embedding", 1024, "bits"), dense.pack(v, "id", "embedding", form="bits"), k, "bits"), k)
 
 
 def hamming_shortlist(s: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,29 +30,40 @@ def validate(spark: SparkSession, path: str, config: str, expected: dict[str, in
     gate(counted(spark.read.parquet(path), config), expected)
 
 
+_MANIFEST = "kind string, version int, counts string, folder string, written double"
+
+
 def save_index(tables: dict[str, DataFrame], path: str, kind: str, version: int = 1) -> None:
-    """Tables of an index and, last, a manifest row: an index without one was never finished (K2, K4)."""
-    counts = {}
+    """Tables of an index in a folder of their own and, last, a manifest row beside the older ones (K2, K4).
+
+    Readers go by the newest manifest row, so a crash while writing leaves the index as it was.
+    """
+    folder, counts = uuid.uuid4().hex, {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        counts[name] = df.sparkSession.read.parquet(f"{path}/{name}").count()
+        df.write.parquet(f"{path}/{folder}/{name}")
+        counts[name] = df.sparkSession.read.parquet(f"{path}/{folder}/{name}").count()
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(kind, version, json.dumps(counts, sort_keys=True))], "kind string, version int, counts string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    row = (kind, version, json.dumps(counts, sort_keys=True), folder, time.time())
+    spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
+
+
+def _newest(spark: SparkSession, path: str):
+    return spark.read.schema(_MANIFEST).json(f"{path}/manifest").orderBy(F.desc("written")).first()
 
 
 def load_index(spark: SparkSession, path: str, kind: str, version: int = 1) -> dict[str, DataFrame]:
-    """The tables of an index, after every check: kind, version and row counts."""
-    m = spark.read.schema("kind string, version int, counts string").json(f"{path}/manifest").first()
+    """The tables of the newest index, after every check: kind, version and row counts."""
+    m = _newest(spark, path)
     if m is None or m["kind"] != kind or m["version"] != version:
         raise ValueError(f"not an index of kind {kind!r}, version {version}")
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in json.loads(m["counts"])}
+    tables = {name: spark.read.parquet(f"{path}/{m['folder']}/{name}") for name in json.loads(m["counts"])}
     gate({n: t.count() for n, t in tables.items()}, json.loads(m["counts"]))
     return tables
 
 
 def fresh(spark: SparkSession, path: str, docs: int) -> bool:
-    """Whether an index was built from as many documents (K5)."""
-    m = spark.read.schema("kind string, version int, counts string").json(f"{path}/manifest").first()
+    """Whether the newest index was built from as many documents (K5)."""
+    m = _newest(spark, path)
     return m is not None and json.loads(m["counts"]).get("docs") == docs
 
 

@@ -75,20 +75,39 @@ def test_postings_round_trip_and_manifest(spark, tmp_path):
     assert writers.fresh(spark, path, 2) and not writers.fresh(spark, path, 3)
     with pytest.raises(ValueError):
         writers.load_index(spark, path, "dense")
-    df.limit(1).write.mode("overwrite").parquet(f"{path}/docs")
+    (folder,) = (f for f in (tmp_path / "index").iterdir() if f.name != "manifest")
+    df.limit(1).write.mode("overwrite").parquet(f"{folder}/docs")
     with pytest.raises(ValueError):
         writers.load_index(spark, path, "bm25")
+    writers.save_index({"docs": df}, path, "bm25", 2)  # a newer one beside it
+    assert writers.load_index(spark, path, "bm25", 2)["docs"].count() == 2
 
 
-@pytest.mark.parametrize("metric", ["dot", "bits"])
-def test_block_search_equals_brute_force(spark, metric):
+def test_a_saved_index_is_used_again_until_the_texts_change(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "red fox"), ("b", "blue fox fox"), ("c", "")], "doc_id string, text string")
+    terms = spark.createDataFrame([(1, "fox"), (1, "red"), (2, "none")], "query_id long, term string")
+    path = str(tmp_path / "index")
+    first = sparse.open_index(docs, path)
+    again = sparse.open_index(docs.repartition(3), path)
+    assert first.inputFiles() == again.inputFiles()
+    want = sparse.top(sparse.scores(docs, terms), 5).collect()
+    assert sorted(map(tuple, sparse.block_top(None, terms, 5, index=again).collect())) == sorted(map(tuple, want))
+    changed = sparse.open_index(docs.filter("doc_id <> 'a'"), path)
+    assert changed.inputFiles() != first.inputFiles() and changed.selectExpr("sum(size(ids))").first()[0] == 2
+
+
+@pytest.mark.parametrize("form", ["float", "int8", "bits"])
+def test_block_search_equals_brute_force(spark, form):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(200, 64)).astype(np.float32)
     m[50:60] = m[40:50]  # copies tie
+    if form == "int8":
+        m = np.round(m * 20)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(999, None)], "id long, v array<float>").repartition(5)
-    got = dense.top(dense.block_search(dense.pack(df.filter("id % 20 = 0"), "id", "v", 3), dense.pack(df, "id", "v", 17), 7, metric), 7)
-    x = m.astype(float) if metric == "dot" else np.where(m > 0, 1.0, -1.0)
-    s = np.round(x @ x.T if metric == "dot" else (x @ x.T - 64) / 2, 9)
+    docs, asked = dense.pack(df, "id", "v", 17, form), dense.pack(df.filter("id % 20 = 0"), "id", "v", 3, "bits" if form == "bits" else "float")
+    got = dense.top(dense.block_search(asked, docs, 7, form), 7)
+    x = np.where(m > 0, 1.0, -1.0) if form == "bits" else m.astype(float)
+    s = np.round((x @ x.T - 64) / 2 if form == "bits" else x @ x.T, 9)
     for q in range(0, 200, 20):
         want = sorted(range(200), key=lambda d: (-s[q, d], d))[:7]
         assert [r["doc_id"] for r in got.filter(F.col("query_id") == q).orderBy("rank").collect()] == want
