@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lemmata.plans import etl_queries, misc_queries, search_queries, text_queries
+from lemmata.plans import applied_queries, etl_queries, misc_queries, search_queries, text_queries
 
-MODULES = (text_queries, etl_queries, search_queries, misc_queries)
+MODULES = (text_queries, etl_queries, search_queries, misc_queries, applied_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
