@@ -9,6 +9,7 @@ from lemmata.functions import columns as C
 from lemmata.functions import extract as X
 from lemmata.operators import etl, numeric, sequence
 from lemmata.plans import api
+from lemmata.plans.text_queries import _strip
 from lemmata.plans.runtime import shared_folder, table
 from lemmata.streaming import live
 
@@ -47,7 +48,7 @@ def problem_signature(s: SparkSession, d: str) -> DataFrame:
 
 
 def problem_givens(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "corpus").select("doc_id", F.size(X.givens(F.col("statement"))).alias("n")).filter("n >= 0")
+    return table(s, d, "corpus").select("doc_id", F.coalesce(F.array_size(X.givens(F.col("statement"))), F.lit(0)).alias("n"))
 
 
 def mapping(s: SparkSession, d: str) -> DataFrame:
@@ -226,6 +227,13 @@ SELECT query_id, string_agg(result, '|' ORDER BY n) AS results FROM n WHERE n <=
     "sequence_match": f"""WITH {_SEQ}, {_GRAMS}, q AS (SELECT k AS query_id, terms[2:] AS t FROM s WHERE k % 20 = 0 AND len(terms) >= 5),
 h AS (SELECT query_id, a_number, min(pos) AS off FROM q JOIN g ON g.terms[pos+1:pos+4] = q.t[1:4] WHERE terms[pos+1:pos+len(t)] = t GROUP BY ALL)
 SELECT * FROM (SELECT query_id, a_number, off AS "offset", off = 0 AS exact_prefix, row_number() OVER (PARTITION BY query_id ORDER BY a_number) AS place FROM h) WHERE place <= 5""",
+    "stream_append": "SELECT doc_id, count(*) AS n FROM findings WHERE trim(statement) <> '' AND trim(source) <> '' AND (dense_vec IS NULL OR len(dense_vec) = 16) GROUP BY doc_id",
+    "wiki_sections": r"""
+WITH a AS (SELECT doc_id, statement, trim(regexp_extract(statement, '(?is)==\s*(?:theorem|statement|lemma)\s*==\s*(.*?)(?:\n==|\n?$)', 1), ' ') AS s FROM corpus)
+SELECT doc_id, md5(CASE WHEN s <> '' THEN s ELSE trim(substr(statement, 1, 800), ' ') END) AS section, array_to_string(regexp_extract_all(statement, '\[\[Category:([^\]|]+)', 1), '|') AS categories FROM a""",
+    "problem_givens": rf"""
+WITH a AS (SELECT doc_id, regexp_replace({_strip('statement')}, '([.;])\s+', '\1' || chr(1), 'g') AS s FROM corpus)
+SELECT doc_id, CAST(coalesce(len(list_filter(regexp_split_to_array(s, chr(1) || '|,\s+'), lambda x: regexp_matches(lower(trim(x)), '^(?:{'|'.join(X.GIVEN_CUES)})'))), 0) AS INTEGER) AS n FROM a""",
     "add_findings": "SELECT DISTINCT doc_id, source, added_ts, dense_vec IS NOT NULL AS dense FROM findings WHERE trim(statement) <> '' AND trim(source) <> '' AND (dense_vec IS NULL OR len(dense_vec) = 16)",
     "findings_snapshot_age": "SELECT DISTINCT doc_id AS key, added_ts FROM findings WHERE added_ts >= (SELECT max(added_ts) FROM findings) - 604800 ORDER BY added_ts DESC, key LIMIT 200",
     "events_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",

@@ -144,6 +144,7 @@ _ENV = " ".join(f"WHEN contains(lower(e), '{c}') THEN '{c}'" for c in C.CANONICA
 _EMBED = "coalesce(nullif(concat_ws(' -- ', nullif(name, ''), nullif(slogan, '')), ''), statement)"
 
 ORACLE_SQL = {
+    "doc_url": "SELECT doc_id, 'https://docs.example/' || replace(category, '.', '/') || '.html#' || replace(replace(replace(url_encode(label), '%20', '+'), '%2A', '*'), '~', '%7E') AS url FROM corpus",
     "tokenize_counts": "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(statement), '[a-z0-9]+')) AS term FROM corpus) GROUP BY term",
     "norm_text": r"SELECT doc_id, md5(trim(regexp_replace(lower(statement), '[\s\p{Z}]+', ' ', 'g'))) AS norm FROM corpus",
     "embed_text": f"SELECT doc_id, {_EMBED} AS text FROM corpus",
