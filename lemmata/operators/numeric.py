@@ -258,6 +258,24 @@ def identify(values: DataFrame, key: str = "id", value: str = "value") -> DataFr
     return base.mapInPandas(run, f"{key} {kind}, expr string, verified boolean, digits int")
 
 
+def checked(claims: DataFrame, min_digits: int = 20) -> DataFrame:
+    """(value, expr) to (value, expr, verified, digits, reeval, error): every claim is evaluated anew in the task that holds it (M5).
+
+    A null value or expression is not verified, with the reason in error.
+    """
+    base = claims.select(F.col("value").cast("string").alias("value"), F.col("expr").cast("string").alias("expr"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for v, e in zip(f["value"], f["expr"]):
+                known = isinstance(v, str) and isinstance(e, str)
+                rows.append((v, e, *(verify(v, e, min_digits) if known else (False, 0, None, "missing value or expression"))))
+            yield pd.DataFrame(rows, columns=["value", "expr", "verified", "digits", "reeval", "error"])
+
+    return base.mapInPandas(run, "value string, expr string, verified boolean, digits int, reeval string, error string")
+
+
 def continued_fraction(a: tuple[int, int, int], b: tuple[int, int, int], depth: int) -> Fraction | None:
     """a(0) + b(1) / (a(1) + b(2) / ...) with quadratic a and b, backwards in whole numbers; null if a denominator is zero."""
     num, den = 1, 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmata.functions import columns as C
@@ -89,10 +89,9 @@ def identify_sequence(queries: DataFrame, sequences: DataFrame | None, max_resul
     return unavailable("the sequence dump") if sequences is None else sequence.match(queries, sequences, max_results)
 
 
-def verify_numeric(spark: SparkSession, claims: list[tuple[str, str]], min_digits: int = 20) -> DataFrame:
-    """(value, expr, verified, digits, reeval, error) of claims given as decimals and expressions (M5)."""
-    rows = [(v, e, *numeric.verify(v, e, min_digits)) for v, e in claims]
-    return spark.createDataFrame(rows, "value string, expr string, verified boolean, digits int, reeval string, error string")
+def verify_numeric(claims: DataFrame, min_digits: int = 20) -> DataFrame:
+    """(value, expr, verified, digits, reeval, error) of claims (value, expr) given as decimals and expressions (M5)."""
+    return numeric.checked(claims, min_digits)
 
 
 def verify_formal(statement: str, proof: str | None = None) -> dict[str, str]:

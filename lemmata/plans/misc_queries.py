@@ -104,7 +104,8 @@ def identify_constant(s: SparkSession, d: str) -> DataFrame:
 
 
 def verify_numeric(s: SparkSession, d: str) -> DataFrame:
-    return api.verify_numeric(s, [(GOLD[0], "4*pi/4"), (GOLD[2], "(3+sqrt(5))/2"), (GOLD[4], "pi**2/6"), (GOLD[4], "pi**2/7"), (GOLD[6], "1/0")])
+    claims = [(GOLD[0], "4*pi/4"), (GOLD[2], "(3+sqrt(5))/2"), (GOLD[4], "pi**2/6"), (GOLD[4], "pi**2/7"), (GOLD[6], "1/0")]
+    return api.verify_numeric(s.createDataFrame(claims, "value string, expr string"))
 
 
 def conjecture_cf(s: SparkSession, d: str) -> DataFrame:

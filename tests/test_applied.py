@@ -79,3 +79,12 @@ def test_index_resolution():
             A.resolve_index(**wrong)
     with pytest.raises(FileNotFoundError, match="index-small"):
         A.resolve_index("small", exists=lambda name: name == "index")
+
+
+def test_claims_are_checked_where_they_are(spark):
+    from lemmata.plans import api
+
+    pi = "3.14159265358979323846264338327950288419716939937510"
+    rows = [(pi, "pi"), (pi, "pi + 1"), (pi, "1/0"), (None, "pi"), (pi, None)]
+    got = api.verify_numeric(spark.createDataFrame(rows, "value string, expr string")).collect()
+    assert [r["verified"] for r in got] == [True, False, False, False, False] and got[2]["error"] and got[3]["error"] == "missing value or expression"
