@@ -10,6 +10,13 @@ neighbours get a parent that holds the bits they share, level by level. A search
 adds up at each level the differences in the bits newly shared there, and drops a whole group once they
 exceed the limit. What is left is checked exactly: shared words over all words of both, at least ``threshold``.
 
+Sketches. Unrelated records that share common words pass the limit in a number that grows with the square of the
+collection, and word sets must not travel once for each of them. So a row also carries the number of its words and
+an odd sketch: for each of ``ODD`` classes of words whether their number is odd. A word that only one of two records
+has changes one bit, so that the bits that differ are never more than such words; a pair with more of them than
+``threshold`` allows is dropped in the node where it was met. No pair that the exact check would keep is dropped.
+Patterns are sorted in ``PASSES``, one after the other, so that only a part of the rows is on disk at a time.
+
 Weights. A rare word weighs 1, one in all records 0.02, so that a lane agrees about as often as two records
 share what is particular to them. But versions share at least seven words in ten, so no record may hang on the
 fewest of its words: weights are cut at the one that a ``TRUSTED`` share of the record's words does not exceed.
@@ -56,6 +63,10 @@ LIMIT = 40
 COMMON = 0.002
 TRUSTED = 0.7
 FANOUT, BLOCK = 4, 16_000
+#: Bits of an odd sketch; 16 more of its two words are the number of words, which TOO_MANY or more are not told apart.
+ODD, TOO_MANY = 112, (1 << 16) - 1
+#: Parts in which the masked patterns are sorted and searched.
+PASSES = 2
 #: Pairs of a record and a group that a search holds at a time.
 HELD = 1 << 20
 #: Copies of one word set that meet the others in one task when pairs are listed.
@@ -216,20 +227,45 @@ def fingerprints(w: np.ndarray, starts: np.ndarray, weight_words: np.ndarray, we
     return *to_gray(high, low), masked
 
 
-ROW = np.dtype([("g", "<u8"), ("f", "<u8"), ("keys", "<i8", (BANDS,))])
+def odd_sketches(w: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words for each of the word sets laid end to end: 64 bits of its odd sketch; the other 48 and, below them, the number of its words."""
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    place = w.view(np.uint64) % np.uint64(ODD)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    first = place < 64
+    high = np.bitwise_xor.reduceat(np.where(first, bit, np.uint64(0)), starts)
+    low = np.bitwise_xor.reduceat(np.where(first, np.uint64(0), bit), starts)
+    sizes = np.minimum(np.diff(np.r_[starts, len(w)]), TOO_MANY).astype(np.uint64)
+    return high, low << np.uint64(16) | sizes
+
+
+def may_be_versions(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """Whether the sketches of two records allow them to be threshold alike; never false where they are."""
+    size = np.uint64(TOO_MANY)
+    m, n = a[1] & size, b[1] & size
+    apart = np.bitwise_count(a[0] ^ b[0]).astype(np.int64) + np.bitwise_count((a[1] ^ b[1]) >> np.uint64(16))
+    # words of one of the two, and so the difference of their numbers too, are at most (1 - t) / (1 + t) of the words of both
+    apart = np.maximum(apart, np.abs(m.astype(np.int64) - n.astype(np.int64)))
+    return (apart * (1 + threshold) <= (m + n).astype(np.float64) * (1 - threshold) + 1e-6) | (m == size) | (n == size)
+
+
+ROW = np.dtype([("g", "<u8"), ("f", "<u8"), ("u", "<u8"), ("v", "<u8"), ("keys", "<i8", (BANDS,))])
 
 
 def index_rows(sets: DataFrame, weights: dict[int, float]) -> DataFrame:
-    """(h, rep, g, f, keys) of each distinct word set."""
+    """(h, rep, g, f, u, v, keys) of each distinct word set; u and v hold its odd sketch."""
     words_ = np.array(sorted(weights), np.int64)
     values = np.array([weights[k] for k in words_.tolist()], np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = b["w"]
-            g, f, masked = fingerprints(col.flatten().to_numpy(zero_copy_only=False), np.asarray(col.offsets)[:-1] - col.offsets[0].as_py(), words_, values)
+            w, starts = col.flatten().to_numpy(zero_copy_only=False), np.asarray(col.offsets)[:-1] - col.offsets[0].as_py()
+            g, f, masked = fingerprints(w, starts, words_, values)
             rows = np.empty(len(g), ROW)
             rows["g"], rows["f"], rows["keys"] = g, f, masked
+            rows["u"], rows["v"] = odd_sketches(w, starts)
             packed = pa.Array.from_buffers(pa.binary(ROW.itemsize), len(rows), [None, pa.py_buffer(rows.tobytes())])
             yield pa.RecordBatch.from_arrays([b["h"], b["id"], packed.cast(pa.binary())], names=["h", "id", "x"])
 
@@ -237,12 +273,12 @@ def index_rows(sets: DataFrame, weights: dict[int, float]) -> DataFrame:
         for b in batches:
             rows = np.frombuffer(b"".join(b["x"].to_pylist()), ROW)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(rows) + 1, BANDS, dtype=np.int32)), pa.array(np.ascontiguousarray(rows["keys"]).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b["h"], b["rep"], pa.array(rows["g"].view(np.int64)), pa.array(rows["f"].view(np.int64)), keys], names=["h", "rep", "g", "f", "keys"])
+            yield pa.RecordBatch.from_arrays([b["h"], b["rep"], *(pa.array(rows[c].view(np.int64)) for c in "gfuv"), keys], names=["h", "rep", *"gfuv", "keys"])
 
     rows = sets.select("id", "h", "w").mapInArrow(run, "h bigint, id bigint, x binary")
     # equal sets have equal rows: one of each stays
     rows = rows.groupBy("h").agg(F.min("id").alias("rep"), F.first("x").alias("x"))
-    return materialize(rows.mapInArrow(unpack, "h bigint, rep bigint, g bigint, f bigint, keys array<bigint>"), "dup-index")
+    return materialize(rows.mapInArrow(unpack, "h bigint, rep bigint, g bigint, f bigint, u bigint, v bigint, keys array<bigint>"), "dup-index")
 
 
 class Hierarchy:
@@ -315,7 +351,7 @@ def within(bits: tuple[np.ndarray, np.ndarray], runs: np.ndarray, limit: int) ->
         low *= FANOUT
 
 
-MEMBER = np.dtype([("g", "<u8"), ("f", "<u8"), ("rep", "<i8")])
+MEMBER = np.dtype([("g", "<u8"), ("f", "<u8"), ("u", "<u8"), ("v", "<u8"), ("rep", "<i8")])
 FOUND = "a bigint, b bigint, key bigint, block bigint, on_g bigint, on_f bigint, off_g bigint, off_f bigint, x binary"
 _NAMES = [c.split()[0] for c in FOUND.split(", ")]
 
@@ -326,41 +362,43 @@ def _pairs(rep_a: np.ndarray, rep_b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(both + [pa.nulls(n, pa.int64())] * 6 + [pa.nulls(n, pa.binary())], names=_NAMES)
 
 
-def _search(limit: int, size: int):
-    """Rows in Gray order to pairs of representatives, and to blocks of the nodes that are not whole in a task."""
+def _search(limit: int, size: int, threshold: float, begin: int):
+    """Rows in Gray order to pairs of representatives, and to blocks, numbered from begin on, of the nodes that are not whole in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = begin + (TaskContext.get().partitionId() << 32)
         none = np.zeros(0, np.int64)
-        held, opened = (none, none.view(np.uint64), none.view(np.uint64), none), True
+        held, opened = (none, *[none.view(np.uint64)] * 4, none), True
 
-        def block(key, g, f, rep) -> Iterator[pa.RecordBatch]:
+        def block(key, g, f, u, v, rep) -> Iterator[pa.RecordBatch]:
             nonlocal number
             for a in range(0, len(key), size):
                 rows = np.empty(len(key[a : a + size]), MEMBER)
-                rows["g"], rows["f"], rows["rep"] = g[a : a + size], f[a : a + size], rep[a : a + size]
+                for c, x in zip(MEMBER.names, (g, f, u, v, rep)):
+                    rows[c] = x[a : a + size]
                 bits = from_gray(rows["g"], rows["f"])
                 shared = [np.bitwise_and.reduce(x) for x in bits] + [~np.bitwise_or.reduce(x) for x in bits]
                 numbers = [pa.array(np.array([x], np.int64)) for x in (key[a], number)] + [pa.array(np.array([x], np.uint64).view(np.int64)) for x in shared]
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2 + numbers + [pa.array([rows.tobytes()], pa.binary())], names=_NAMES)
                 number += 1
 
-        def solve(key, g, f, rep) -> Iterator[pa.RecordBatch]:
+        def solve(key, g, f, u, v, rep) -> Iterator[pa.RecordBatch]:
             runs = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[runs, len(key)])
             apart = sizes > size
             apart[0] |= opened
             for s, n in zip(runs[apart], sizes[apart]):
-                yield from block(*(x[s : s + n] for x in (key, g, f, rep)))
+                yield from block(*(x[s : s + n] for x in (key, g, f, u, v, rep)))
             at = np.flatnonzero(np.repeat((sizes > 1) & ~apart, sizes))
             n = sizes[(sizes > 1) & ~apart]
-            rep = rep[at]
+            u, v, rep = u[at], v[at], rep[at]
             for i, j in within(from_gray(g[at], f[at]), np.cumsum(n) - n, limit):
-                if len(i):
-                    yield _pairs(rep[i], rep[j])
+                ok = np.flatnonzero(may_be_versions((u[i], v[i]), (u[j], v[j]), threshold))
+                if len(ok):
+                    yield _pairs(rep[i[ok]], rep[j[ok]])
 
         for batch in batches:
-            more = batch["key"].to_numpy(), batch["g"].to_numpy().view(np.uint64), batch["f"].to_numpy().view(np.uint64), batch["rep"].to_numpy()
+            more = batch["key"].to_numpy(), *(batch[c].to_numpy().view(np.uint64) for c in "gfuv"), batch["rep"].to_numpy()
             held = tuple(np.concatenate(x) for x in zip(held, more))
             if len(held[0]) < 100_000:
                 continue
@@ -381,7 +419,7 @@ def _search(limit: int, size: int):
     return run
 
 
-def _meet(limit: int):
+def _meet(limit: int, threshold: float):
     """Two blocks a row, or one with itself, to pairs of representatives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,27 +429,33 @@ def _meet(limit: int):
                 own = batch["i"][k].as_py() == batch["j"][k].as_py()
                 index = Hierarchy(from_gray(q["g"], q["f"]), np.zeros(1, np.int64))
                 for s, t in index.near(limit, None if own else from_gray(p["g"], p["f"])):
+                    ok = may_be_versions((p["u"][s], p["v"][s]), (q["u"][t], q["v"][t]), threshold)
+                    s, t = s[ok], t[ok]
                     if len(s):
                         yield _pairs(p["rep"][s], q["rep"][t]).select(["a", "b"])
 
     return run
 
 
-def candidates(rows: DataFrame, limit: int = LIMIT, size: int | None = None) -> DataFrame:
-    """Pairs (a < b) of representatives under a common node whose fingerprints differ in at most limit bits; repeated if they meet in several nodes."""
+def candidates(rows: DataFrame, limit: int = LIMIT, size: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a < b) of representatives under a common node whose fingerprints differ in at most limit bits and whose sketches allow threshold; repeated if they meet in several nodes."""
     n, size = partitions_of(rows.sparkSession), BLOCK if size is None else size
     # Gray ranks are unsigned: with the first bit turned they sort as signed numbers do
     order = ["key"] + [F.col(c).bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")) for c in ("g", "f")] + [F.col("rep")]
-    nodes = rows.select(F.explode("keys").alias("key"), "g", "f", "rep")
-    nodes = nodes.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    found = materialize(nodes.mapInArrow(_search(limit, size), FOUND), "dup-found")
+    found = None
+    for k in range(PASSES):
+        bands = range(BANDS * k // PASSES, BANDS * (k + 1) // PASSES)
+        nodes = rows.select(F.explode(F.slice("keys", bands[0] + 1, len(bands))).alias("key"), "g", "f", "u", "v", "rep")
+        nodes = nodes.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        part = materialize(nodes.mapInArrow(_search(limit, size, threshold, k << 56), FOUND), "dup-found")
+        found = part if found is None else found.unionByName(part)
     blocks = found.filter("block IS NOT NULL")
     p, q = (blocks.select("key", F.col("block").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("on_g", "on_f", "off_g", "off_f"))) for k in "ij")
     apart = [F.bit_count(F.col(f"i_{x}_{c}").bitwiseAND(F.col(f"j_{y}_{c}"))) for c in "gf" for x, y in (("on", "off"), ("off", "on"))]
     both = p.join(q, "key").filter("i <= j").filter(apart[0] + apart[1] + apart[2] + apart[3] <= limit).select("i", "j")
     both = both.join(blocks.select(F.col("block").alias("i"), "x"), "i").repartition(n, "j")
     both = both.join(blocks.select(F.col("block").alias("j"), F.col("x").alias("y")), "j")
-    met = both.select("i", "j", "x", "y").mapInArrow(_meet(limit), "a bigint, b bigint")
+    met = both.select("i", "j", "x", "y").mapInArrow(_meet(limit, threshold), "a bigint, b bigint")
     return found.filter("block IS NULL").select("a", "b").unionByName(met)
 
 
@@ -459,7 +503,7 @@ class Versions:
         weights = common_words(self.sets, rows) if rows else {}
         index = index_rows(self.sets, weights)
         self.members = self.sets.select("id", "doc_id", "h").join(index.select("h", "rep"), "h").select("id", "doc_id", "rep")
-        self.links = materialize(verified(candidates(index), self.sets, threshold), "dup-links")
+        self.links = materialize(verified(candidates(index, threshold=threshold), self.sets, threshold), "dup-links")
 
     def classes(self) -> DataFrame:
         """(key, class_id, copies, links): of every record with words, the least record number in its class, the records with the same words, and the other sets it is linked with."""

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a side may have at most, by proof and not by hope, to be broadcast.
 BROADCAST_ROWS = 100_000
+#: Spark's setting that ends the shuffle files of a query with the query; else they stay until the driver happens to collect its garbage.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session(app: str = "lemmata", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -98,13 +100,19 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
     The lineage ends at files that outlive executors, so a lost executor costs a task, not the job.
     Columns come back in the same order; an empty df keeps its schema. See release() for the end of these tables.
+    The shuffle files of df are deleted once it is written.
     """
     spark = df.sparkSession
     if not getattr(spark.sparkContext, "_lemmata_release", False):
         atexit.register(_release_at_exit, spark)
         spark.sparkContext._lemmata_release = True
     path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(FILE_CLEANUP) if before is None else spark.conf.set(FILE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -157,3 +157,53 @@ def test_components(spark):
 def test_components_that_do_not_close_are_an_error(spark):
     with pytest.raises(RuntimeError, match="not closed"):
         N.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), rounds=1)
+
+
+def laid(sets):
+    words = [np.sort(np.array(sorted(s), np.uint64).view(np.int64)) for s in sets]
+    return np.concatenate(words), np.cumsum([0] + [len(x) for x in words[:-1]])
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
+def test_sketches_drop_no_versions_and_most_others(threshold):
+    rng = random.Random(3)
+    sets = []
+    for _ in range(60):
+        base = [rng.getrandbits(64) for _ in range(rng.randint(1, 120))]
+        for _ in range(5):
+            share = rng.random()
+            sets.append({x if rng.random() < 0.75 + 0.3 * share else rng.getrandbits(64) for x in base} | {rng.getrandbits(64) for _ in range(rng.randint(0, 3))})
+    sets += [set(range(70_000)), set(range(68_000)), set(range(5))]  # more words than are told apart
+    u, v = N.odd_sketches(*laid(sets))
+    i, j = np.triu_indices(len(sets), 1)
+    may = N.may_be_versions((u[i], v[i]), (u[j], v[j]), threshold)
+    true = np.array([len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9 for a, b in zip(i.tolist(), j.tolist())])
+    assert true.sum() > 20 and may[true].all()
+    if threshold >= 0.7:  # below, what is allowed between long records is more than the bits that differ by chance
+        assert may[~true].mean() < 0.05
+
+
+def test_most_records_that_only_share_common_words_never_reach_the_exact_check(spark, monkeypatch):
+    # records of one pattern share 46 of 84 words: they pass the limit, and their number grows with the square of the table
+    rng = random.Random(8)
+    rows = [(f"d{k:03d}", None, " ".join([f"p{k % 10}x{i}" for i in range(46)] + [f"own{k}x{i}" for i in range(19)])) for k in range(300)]
+    rows += [(f"v{k:03d}", None, rows[k][2] + " more") for k in rng.sample(range(300), 20)]
+    met, exact = [], N.verified
+
+    def verified(pairs, sets, threshold):
+        met.append(pairs.distinct().count())
+        return exact(pairs, sets, threshold)
+
+    monkeypatch.setattr(N, "verified", verified)
+    got, want = pairs(N.Versions(frame(spark, rows)).pairs()), brute(rows)
+    assert got == want and len(want) == 20, (len(got), len(want))
+    assert met[0] < 1000  # of 4,350 pairs of one pattern
+
+
+@pytest.mark.parametrize("block", [5, 16_000])
+def test_passes_and_blocks_of_different_passes_do_not_mix(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
+    rows = corpus(4, groups=30) + versions_of_one(3, 60)
+    for passes in (1, 2, 5):
+        monkeypatch.setattr(N, "PASSES", passes)
+        assert pairs(N.Versions(frame(spark, rows)).pairs()) == brute(rows)

@@ -1,3 +1,4 @@
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -33,3 +34,18 @@ def test_release_deletes_what_was_written(spark):
     runtime.release(spark)
     assert not fs.exists(path)
     assert runtime.materialize(spark.range(2).toDF("x"), "again").count() == 2
+
+
+def test_shuffle_files_end_with_the_table_that_needed_them(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+        return {f for f in files if "/shuffle_" in f}
+
+    setting, before = spark.conf.get(runtime.FILE_CLEANUP, None), shuffles()
+    t = runtime.materialize(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+    for _ in range(50):  # files are deleted in the background
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(runtime.FILE_CLEANUP, None) == setting
+    assert {r["k"] for r in t.collect()} == set(range(7))
