@@ -319,6 +319,9 @@ class Hierarchy:
             lo = hi
             on, shared, _, _ = self.levels[-1]
             differ = sum(np.bitwise_count((y[at] ^ o[group]) & m[group]) for y, o, m in zip(x, on, shared)).astype(np.int16)
+            if len(self.levels) == 1:  # a node of one record: it is no pair of its own
+                ok = np.flatnonzero((differ <= limit) & (not own))
+                at, differ, group = at[ok], differ[ok], group[ok]
             for level in range(len(self.levels) - 2, -1, -1):
                 above, kids = self.levels[level + 1][1], self.levels[level + 1][3]
                 on, shared, end, _ = self.levels[level]

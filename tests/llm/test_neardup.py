@@ -207,3 +207,17 @@ def test_passes_and_blocks_of_different_passes_do_not_mix(spark, monkeypatch, bl
     for passes in (1, 2, 5):
         monkeypatch.setattr(N, "PASSES", passes)
         assert pairs(N.Versions(frame(spark, rows)).pairs()) == brute(rows)
+
+
+def test_a_record_alone_in_its_node_is_no_link_of_its_own(spark):
+    index = N.Hierarchy((np.array([5], np.uint64), np.array([9], np.uint64)), np.zeros(1, np.int64))
+    assert not sum(len(i) for i, _ in index.near(40))
+    asked = np.array([5, 2**64 - 1], np.uint64), np.array([9, 2**64 - 10], np.uint64)
+    assert [(i.tolist(), j.tolist()) for i, j in index.near(40, asked)] == [([0], [0])]
+    # the ends of tasks hand on nodes of one record too
+    rows = list({frozenset(N.words(s, t)): (d, s, t) for d, s, t in corpus(6)}.values())
+    want = dict.fromkeys((r[0] for r in rows), 0)
+    for a, b in brute(rows):
+        want[a] += 1
+        want[b] += 1
+    assert {r["doc_id"]: r["links"] for r in N.Versions(frame(spark, rows)).classes().collect()} == want
