@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -209,6 +210,219 @@ def block_top(docs: DataFrame | None, terms: DataFrame, k: int, key: str = "doc_
     return top(found, k)
 
 
+#: A block of score_index() ends with the record that reaches as many records or tokens; queries to a block that is scored against it.
+SUM_DOCS, SUM_TOKENS, SUM_QUERIES = 32768, 1 << 21, 16384
+#: Bytes of a block's postings that are laid out by record, and sums that are kept for the next query.
+ROW_BYTES, SHARED = 64 << 20, 16
+_SUMS = "number bigint, records bigint, tokens bigint, lens array<int>, doc array<int>, terms array<string>, ends array<int>, docs array<int>, tfs array<int>"
+
+
+def _list(x: np.ndarray | pa.Array, kind: pa.DataType | None = None) -> pa.ListArray:
+    """One row that holds all of x."""
+    x = x if isinstance(x, pa.Array) else pa.array(x.astype(np.int32))
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if kind is None else x.cast(kind))
+
+
+def score_index(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str | None = None) -> DataFrame:
+    """The postings of blocks of records, all records of an id in one block. Written once.
+
+    Rows of one id, length and part count as one record, as postings() has it; lens and doc give the length of each record
+    and the number of its id in the block.
+    """
+    base = docs.select(F.col(key).cast("string").alias("id"), (F.lit(None) if part is None else F.col(part)).cast("string").alias("part"), F.col(text).alias("text"))
+    base = base.repartition(partitions_of(docs.sparkSession), "id").sortWithinPartitions("id")  # texts travel, not their tokens
+    base = base.select("id", "part", F.coalesce(C.tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
+
+    def block(b: pa.Table, number: int) -> pa.RecordBatch:
+        codes = [pa.compute.dictionary_encode(b[c].combine_chunks(), null_encoding="encode").indices.to_numpy().astype(np.int64) for c in ("id", "part")]
+        t = b["t"].combine_chunks()
+        n = pa.compute.list_value_length(t).to_numpy().astype(np.int64)
+        doc, lens, of = codes[0], n, np.arange(len(n))
+        if doc[-1] + 1 < len(doc):  # some id has several rows
+            record, of = np.unique(np.stack([*codes, n]), axis=1, return_inverse=True)
+            doc, lens, of = record[0], record[2], of.reshape(-1)
+        words = t.flatten().dictionary_encode()
+        pair = np.multiply(words.indices.to_numpy(), len(lens), dtype=np.int64)
+        pair += np.repeat(of.astype(np.int32), n)
+        pair.sort()  # in place: the tokens of a block are most of a worker's memory
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
+        tf, pair = np.diff(np.r_[first, len(pair)]), pair[first]
+        ends = np.searchsorted(pair, np.arange(1, len(words.dictionary) + 1) * len(lens))
+        head = [pa.array([x], pa.int64()) for x in (number, len(n), n.sum())]
+        return pa.RecordBatch.from_arrays([*head, _list(lens), _list(doc), _list(words.dictionary, pa.string()), _list(ends), _list(pair % len(lens)), _list(tf)], names=[f.split()[0] for f in _SUMS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, tokens, number = [], 0, 0, TaskContext.get().partitionId() << 32
+        for b in batches:
+            for a in range(0, b.num_rows, 1024):
+                held.append(b.slice(a, 1024))
+                rows, tokens = rows + held[-1].num_rows, tokens + len(held[-1]["t"].flatten())
+                if rows >= SUM_DOCS or tokens >= SUM_TOKENS:
+                    whole = pa.Table.from_batches(held)
+                    last, cut = whole["id"][rows - 1], rows - 1
+                    while cut and whole["id"][cut - 1].as_py() == last.as_py():  # the last id may go on
+                        cut -= 1
+                    if cut:
+                        yield block(whole.slice(0, cut), number)
+                        held, number = whole.slice(cut).combine_chunks().to_batches(), number + 1
+                        rows, tokens = rows - cut, sum(len(x["t"].flatten()) for x in held)
+        if rows:
+            yield block(pa.Table.from_batches(held), number)
+
+    return materialize(base.mapInArrow(run, _SUMS), "bm25-records")
+
+
+class _Block:
+    """A block of score_index(), decoded once for all queries that meet it: by term its ids, their gains and the sum of these."""
+
+    def __init__(self, x: dict, k1: float, b: float, avgdl: float):
+        lens, of, ends, doc, tf = (np.asarray(x[c].values) for c in ("lens", "doc", "ends", "docs", "tfs"))
+        self.docs, self.words, self.ends = int(of[-1]) + 1, x["terms"].values, ends.astype(np.int64)
+        self.starts = np.r_[0, self.ends][: len(ends)]
+        norm = k1 * (1 - b + b * lens / avgdl)
+        self.gain = tf * (k1 + 1) / (tf + norm[doc])
+        self.key = np.repeat(np.arange(len(ends)) * self.docs, self.ends - self.starts)
+        self.key += of[doc]
+        if self.docs < len(of):  # the records of an id are added up
+            self.key, at = np.unique(self.key, return_inverse=True)
+            self.gain = np.bincount(at, self.gain)
+            self.starts, self.ends = (np.searchsorted(self.key, (np.arange(len(ends)) + i) * self.docs) for i in (0, 1))
+        self.sums = np.add.reduceat(self.gain, self.starts) if len(ends) else self.gain  # no term is without records
+        self.rows: dict[int, np.ndarray] = {}
+
+    def few(self, t: int, idf: float) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a term and their scores in single precision."""
+        a, b = self.starts[t], self.ends[t]
+        return self.key[a:b] - t * self.docs, (self.gain[a:b] * idf).astype(np.float32)
+
+    def row(self, t: int, idf: float) -> np.ndarray | None:
+        """The same laid out by id, for terms of many ids, as far as ROW_BYTES go."""
+        if t not in self.rows and self.ends[t] - self.starts[t] > self.docs // 64 and 4 * self.docs * len(self.rows) < ROW_BYTES:
+            d, x = self.few(t, idf)
+            self.rows[t] = np.zeros(self.docs, np.float32)
+            self.rows[t][d] = x
+        return self.rows.get(t)
+
+
+class _Sets:
+    """A block of term sets: their numbers, and in one order of terms, those of most records first, which terms each has."""
+
+    def __init__(self, q: pa.StructArray):
+        numbers, w = q.field("set").to_numpy(), q.field("w")
+        flat, n = w.flatten(), pa.compute.list_value_length(w).to_numpy()
+        code = flat.field("term").dictionary_encode()
+        idf = np.zeros(len(code.dictionary))
+        idf[code.indices.to_numpy()] = flat.field("idf").to_numpy()
+        order = np.argsort(idf, kind="stable")
+        self.words, self.idf = code.dictionary.take(pa.array(order)), idf[order]
+        place = np.argsort(order)[code.indices.to_numpy()]
+        place = place[np.lexsort((place, np.repeat(np.arange(len(n)), n)))].tolist()
+        ends = np.cumsum(n).tolist()
+        lists = sorted((place[e - m : e], i) for e, m, i in zip(ends, n.tolist(), numbers.tolist()))
+        self.numbers, self.lists = np.array([i for _, i in lists], np.int64), [x for x, _ in lists]
+        self.size = np.array([len(x) for x in self.lists])
+        self.flat = np.array([t for x in self.lists for t in x], np.int64)
+
+    def totals(self, block: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(number, ids with a score, best, sum) of every set that has a score in the block.
+
+        Sums of a term's scores are added up for all ids at once. Which ids have a score and which may have the best is
+        read from sums in single precision; whatever its error leaves open is added up in double precision.
+        """
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        if not len(block.words):
+            return none
+        docs = block.docs
+        at = pa.compute.index_in(self.words, value_set=block.words).fill_null(-1).to_numpy(zero_copy_only=False)
+        total = np.where(at >= 0, block.sums[at] * self.idf, 0.0)
+        rows: list[np.ndarray | None] = [None] * len(at)
+        few: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(at)
+        for t in np.flatnonzero(at >= 0).tolist():  # those of most records first
+            rows[t] = block.row(int(at[t]), self.idf[t])
+            if rows[t] is None:
+                few[t] = block.few(int(at[t]), self.idf[t])
+        sums = [np.zeros(docs, np.float32)]  # of the first terms: many sets begin as the one before
+        work, near = np.empty(docs, np.float32), np.empty(docs, bool)
+        before: list[int] = []
+        count, sets, found = np.zeros(len(self.lists), np.int64), [], []
+        for i, terms in enumerate(self.lists):
+            here = [t for t in terms if rows[t] is not None]
+            first, same = here[:SHARED], 0
+            while same < len(first) and same < len(before) and first[same] == before[same]:
+                same += 1
+            for j in range(same, len(first)):
+                if j + 1 == len(sums):
+                    sums.append(np.empty(docs, np.float32))
+                np.add(sums[j], rows[first[j]], out=sums[j + 1])
+            before, s = first, sums[len(first)]
+            rest = [few[t] for t in terms if few[t] is not None]
+            if rest or len(here) > SHARED:
+                np.copyto(work, s)
+                s = work
+                for t in here[SHARED:]:
+                    np.add(s, rows[t], out=s)
+                for d, x in rest:
+                    s[d] += x
+            count[i] = np.count_nonzero(s.view(np.int32))
+            if count[i]:
+                top = s.argmax()
+                np.greater_equal(s, s[top] * np.float32(1 - (len(terms) + 2) * 2.0**-22), out=near)
+                found.append([top] if np.count_nonzero(near) == 1 else np.flatnonzero(near))
+                sets.append(i)
+        if not sets:
+            return none
+        sets = np.array(sets)
+        many_of = np.array([len(x) for x in found])
+        pair_set, pair_doc = np.repeat(sets, many_of), np.concatenate(found)
+        m, first = self.size[pair_set], np.cumsum(self.size) - self.size
+        pair = np.repeat(np.arange(len(m)), m)
+        term = self.flat[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[pair_set], m)]
+        want = at[term] * docs + pair_doc[pair]
+        place = np.minimum(np.searchsorted(block.key, want), len(block.key) - 1)
+        exact = np.bincount(pair, np.where(block.key[place] == want, block.gain[place] * self.idf[term], 0.0), len(m))
+        best = np.maximum.reduceat(exact, np.cumsum(many_of) - many_of)
+        return self.numbers[sets], count[sets], best, np.add.reduceat(total[self.flat], first)[sets]
+
+
+def score_totals(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, part: str | None = None) -> DataFrame:
+    """(query_id, n, best, total): how many ids each query scores, their best score and the sum of all; as scores() gives them.
+
+    Blocks of records meet blocks of queries, and a pair of blocks passes on one row a query: the scored pairs, which
+    grow with the square of the tables, are never rows. Queries of the same terms are scored once. part: a column by
+    which records of one id and length stay apart.
+    """
+    index = score_index(docs, key, text, part)
+    stats = index.agg(F.sum("records").alias("n"), F.sum("tokens").alias("total")).first()
+    n, avgdl = stats["n"] or 0, (stats["total"] / stats["n"] if stats["total"] else 1.0)
+    idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = terms.join(_counts(index, terms), "term").groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("term", idf.alias("idf")))).alias("w"))
+    sets = asked.groupBy("w").agg(F.collect_list(F.struct("query_id")).alias("ids")).withColumn("set", F.monotonically_increasing_id())
+    sets = materialize(sets, "bm25-sets")
+    blocks = F.pmod(F.xxhash64("set"), F.lit(max(1, -(-sets.count() // SUM_QUERIES))))
+    queries = materialize(sets.groupBy(blocks.alias("block")).agg(F.collect_list(F.struct("set", "w")).alias("q")), "bm25-set-blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoded: dict[int, _Sets] = {}
+        number, block = -1, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x = {c: batch[c][r] for c in batch.schema.names}
+                if x["number"].as_py() != number:
+                    number, block = x["number"].as_py(), _Block(x, k1, b, avgdl)
+                if x["block"].as_py() not in decoded:
+                    if len(decoded) >= DECODED:
+                        decoded.clear()
+                    decoded[x["block"].as_py()] = _Sets(x["q"].values)
+                found = decoded[x["block"].as_py()].totals(block)
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(y) for y in found], names=["set", "n", "best", "total"])
+
+    pairs = index.drop("records", "tokens").crossJoin(queries.hint("shuffle_replicate_nl"))  # of blocks; neither side is broadcast, both grow
+    found = pairs.mapInArrow(run, "set bigint, n bigint, best double, total double")
+    found = found.groupBy("set").agg(F.sum("n").alias("n"), F.max("best").alias("best"), F.sum("total").alias("total"))
+    return found.join(sets.select("set", F.inline("ids")), "set").select("query_id", "n", "best", "total")
+
+
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> str:
     """Records and a sum of their hashes, whatever their order: equal for an index of the same texts."""
     r = docs.agg(F.count("*").alias("n"), F.sum(F.xxhash64(key, text).cast("decimal(38,0)")).alias("h")).first()

@@ -55,8 +55,8 @@ def bm25_filtered(s: SparkSession, d: str) -> DataFrame:
 
 def bm25_score_all(s: SparkSession, d: str) -> DataFrame:
     """How many records each query scores, and their best and mean score."""
-    t = sparse.scores(_docs(s, d), _terms(s, d))
-    return t.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 5).alias("best"), F.round(F.avg("score"), 5).alias("mean"))
+    t = sparse.score_totals(_docs(s, d), _terms(s, d), part="k")
+    return t.select("query_id", "n", F.round("best", 5).alias("best"), F.round(F.col("total") / F.col("n"), 5).alias("mean"))
 
 
 def _vectors(s: SparkSession, d: str) -> DataFrame:

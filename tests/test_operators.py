@@ -65,6 +65,64 @@ def test_blocks_rank_like_joins(spark, monkeypatch):
     assert sparse.block_top(docs.limit(0), terms, 5).count() == 0 and sparse.block_top(docs, terms.limit(0), 5).count() == 0
 
 
+def _totals(rows):
+    return {(r["query_id"], c): r[c] for r in rows for c in ("n", "best", "total")}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_block_totals_equal_all_scores(spark, monkeypatch, small):
+    if small:  # blocks that end within a batch, sums that are not kept, and terms that are not laid out by record
+        for name, value in (("SUM_DOCS", 7), ("SUM_QUERIES", 4), ("SHARED", 1), ("ROW_BYTES", 64)):
+            monkeypatch.setattr(sparse, name, value)
+    rng = random.Random(4)
+    word = lambda: rng.choice("abc") if rng.random() < 0.6 else f"w{int(200 * rng.random() ** 2)}"
+    rows = [(f"d{i:04d}", " ".join(word() for _ in range(rng.randint(0, 9))) if i else None) for i in range(2500)]
+    rows += [(f"d{i:04d}", "a b w1" if i < 40 else "b c c c c c c c c c c") for i in range(20, 60)] + [(None, "w1 a"), (None, "w2"), ("only", "w1 " * 500)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    asked = [(i, " ".join(word() for _ in range(rng.randint(1, 12)))) for i in range(30)] + [(90, "a b"), (91, "b a a"), (92, "a b"), (None, "a w3"), (93, "none"), (94, None), (95, " ".join(f"w{i}" for i in range(200)))]
+    terms = sparse.query_terms(spark.createDataFrame(asked, "query_id long, query string"))
+    want = sparse.scores(docs, terms).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.sum("score").alias("total")).collect()
+    got = sparse.score_totals(docs, terms).collect()
+    assert len(got) == len(want) == 35 and _totals(got) == pytest.approx(_totals(want), rel=1e-9)
+    assert sparse.score_totals(docs.limit(0), terms).count() == 0 and sparse.score_totals(docs, terms.limit(0)).count() == 0
+    assert sparse.score_totals(docs.filter("doc_id = 'd0000'"), terms).count() == 0  # no token at all
+
+
+def test_totals_follow_the_sql_for_repeated_ids(spark, tmp_path):
+    """A term that several rows of a query have counts once; rows of an id and length from two collections stay apart."""
+    from lemmata.plans import search_queries
+    from tests.oracle import compare
+
+    corpus = [("1", "arxiv", "x y"), ("1", "stacks.math", "x z"), ("1", "arxiv", "x x y"), ("2", None, "y"), ("2", None, "y"), (None, "", "x"), ("3", "", "")]
+    kind = "doc_id string, source string, statement string"
+    c = spark.createDataFrame([(i, *r) for i, r in enumerate(corpus)], f"row_id long, {kind}").selectExpr("*", "string(null) AS name", "'' AS slogan", "string(null) AS label", "string(null) AS citations")
+    c.write.parquet(str(tmp_path / "corpus.parquet"))
+    spark.createDataFrame([(1, "x y"), (1, "y z"), (2, "z"), (3, "q")], "query_id long, query string").write.parquet(str(tmp_path / "queries.parquet"))
+    assert not compare(spark, str(tmp_path), search_queries.bm25_score_all, search_queries.ORACLE_SQL["bm25_score_all"])
+
+
+def test_totals_make_no_row_of_a_scored_pair(spark, tmp_path):
+    """3,000 records that all meet 300 queries: 900,000 scored pairs, which an aggregate by pairs would hold and spill."""
+    from lemmata.plans import search_queries
+
+    rows = [(i, f"d{i}", f"the a w{i % 997} v{i % 89}") for i in range(3000)]
+    c = spark.createDataFrame(rows, "row_id long, doc_id string, statement string").selectExpr("*", *[f"'' AS {x}" for x in ("source", "name", "slogan", "label", "citations")])
+    c.write.parquet(str(tmp_path / "corpus.parquet"))
+    spark.createDataFrame([(i, f"the a w{i}") for i in range(300)], "query_id long, query string").write.parquet(str(tmp_path / "queries.parquet"))
+    df = search_queries.bm25_score_all(spark, str(tmp_path))
+    assert {(r["query_id"], r["n"]) for r in df.collect()} == {(i, 3000) for i in range(300)}
+
+    def rows_out(node):
+        while (kind := node.getClass().getSimpleName()) == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            node = node.plan() if kind.endswith("QueryStageExec") else node.executedPlan()
+        if node.metrics().contains("numOutputRows"):
+            yield node.metrics().apply("numOutputRows").value()
+        for i in range(node.children().size()):
+            yield from rows_out(node.children().apply(i))
+
+    assert 300 <= max(rows_out(df._jdf.queryExecution().executedPlan())) < 100_000
+
+
 def test_postings_round_trip_and_manifest(spark, tmp_path):
     df = spark.createDataFrame([("a", "x y x"), ("b", "")], "doc_id string, text string")
     p = sparse.postings(df)
